@@ -30,6 +30,8 @@ def parse_dictionaries(dictionaries: DataFrame) -> DataFrame:
     """Parse ``(model_key, body)``; a text that is no JSON keeps its row with a null ``node``."""
     parsed = dictionaries.withColumn("node", F.try_parse_json("body"))
     flag = F.try_variant_get("node", "$.longitudinal", "variant")
+    # Only a JSON boolean is a flag; Spark would also cast texts such as "yes".
+    is_flag = F.schema_of_variant(flag) == "BOOLEAN"
     return parsed.select(
         "model_key",
         F.try_variant_get("node", "$.code", "string").alias("model_code"),
@@ -37,12 +39,10 @@ def parse_dictionaries(dictionaries: DataFrame) -> DataFrame:
         F.try_variant_get("node", "$.label", "string").alias("model_label"),
         F.col("node").isNotNull().alias("is_json"),
         F.when(flag.isNull(), "absent")
-        .when(F.schema_of_variant(flag) == "BOOLEAN", "boolean")
+        .when(is_flag, "boolean")
         .otherwise("other")
         .alias("longitudinal_kind"),
-        F.coalesce(F.try_variant_get("node", "$.longitudinal", "boolean"), F.lit(False)).alias(
-            "longitudinal"
-        ),
+        F.coalesce(F.when(is_flag, flag.try_cast("boolean")), F.lit(False)).alias("longitudinal"),
         "body",
         "node",
     )

@@ -6,9 +6,9 @@ from tabwarden.workloads.base import Query
 
 
 def all_queries() -> dict[str, Query]:
-    from tabwarden.workloads import checks
+    from tabwarden.workloads import checks, dictionaries
 
     merged: dict[str, Query] = {}
-    for module in (checks,):
+    for module in (checks, dictionaries):
         merged.update(module.QUERIES)
     return merged
