@@ -113,6 +113,7 @@ class FolderCheck:
     layouts: list[Layout]
     compiled: dict[str, list[Cde]]
     longitudinal: set[str]
+    staged: dict[Layout, DataFrame]
 
     def verdicts(self) -> DataFrame:
         """One row per dictionary and per CSV file.
@@ -160,18 +161,44 @@ def check_folder(
     csv_glob: str = "*.csv",
     quoted_newlines: str = "detect",
     compiled_layouts: int = COMPILED_LAYOUTS,
+    stage: bool = False,
 ) -> FolderCheck:
     """Validate every dictionary below ``root`` and the CSV files next to it.
 
     Reads the dictionaries and the headers at once, since the plans depend on them; the
     CSV rows are read when a result is used. ``quoted_newlines``: "detect" looks in a
     split-parallel pass which files need the reader that takes a file as a whole,
-    "never" and "always" skip that pass.
+    "never" and "always" skip that pass. ``stage`` writes the text of each layout as a
+    columnar table first, for a load that reads it again and again.
     """
     models, cdes = structure(spark, root, dictionary_glob)
+    files = csv_text.pair_with_dictionaries(csv_text.list_files(spark, root, csv_glob), models)
+    return check_files(
+        spark,
+        files,
+        models,
+        cdes,
+        profile=profile,
+        quoted_newlines=quoted_newlines,
+        compiled_layouts=compiled_layouts,
+        stage=stage,
+    )
+
+
+def check_files(
+    spark: SparkSession,
+    listed: DataFrame,
+    models: DataFrame,
+    cdes: DataFrame,
+    *,
+    profile: Profile = Profile.FILE,
+    quoted_newlines: str = "detect",
+    compiled_layouts: int = COMPILED_LAYOUTS,
+    stage: bool = False,
+) -> FolderCheck:
+    """Validate files ``(file, folder, bytes, model_key)`` against models that are read already."""
     broken = persisted_copy(dictionary_rules.dictionary_violations(models, cdes), "dictionary-violations")
     dictionaries = dictionary_rules.dictionary_verdict(models, broken)
-    listed = csv_text.pair_with_dictionaries(csv_text.list_files(spark, root, csv_glob), models)
     files = persisted_copy(
         listed.join(models.select("model_key", "longitudinal"), "model_key", "left").join(
             csv_text.read_headers(listed), "file", "left"
@@ -183,24 +210,28 @@ def check_folder(
     found = headers.header_violations(judged, header, cdes).withColumns(
         {"value": F.lit(None).cast("string"), "detail": F.lit(None).cast("string")}
     )
-    shape = ["file", "model_key", *VIOLATION_COLUMNS]
-    bad_headers = persisted_copy(found.select(*shape), "header-violations")
+    bad_headers = persisted_copy(found.select("file", "model_key", *VIOLATION_COLUMNS), "header-violations")
     readable = judged.join(bad_headers.select("file"), "file", "left_anti")
     layouts = _layouts(spark, readable, quoted_newlines)
     compiled = compile_cdes(cdes.join(readable.select("model_key").distinct(), "model_key", "left_semi"))
     longitudinal = {r["model_key"] for r in models.where("longitudinal").select("model_key").collect()}
+    staged = {}
+    if stage:
+        staged = {x: persisted_copy(scan_layout(spark, x, flag_malformed=True), "staged") for x in layouts}
     if not layouts:
         violations = bad_headers
-    elif len(layouts) <= compiled_layouts:
+    elif stage or len(layouts) <= compiled_layouts:
         parts = [
-            _layout_violations(spark, layout, compiled[layout.model_key], layout.model_key in longitudinal, profile)
-            for layout in layouts
+            _layout_violations(
+                spark, x, compiled[x.model_key], x.model_key in longitudinal, profile, staged.get(x)
+            )
+            for x in layouts
         ]
         violations = reduce(DataFrame.unionByName, parts, bad_headers)
     else:
         violations = bad_headers.unionByName(_all_layouts(spark, layouts, readable, cdes, profile))
     return FolderCheck(
-        dictionaries, broken, files.drop("columns"), violations, models, cdes, layouts, compiled, longitudinal
+        dictionaries, broken, files.drop("columns"), violations, models, cdes, layouts, compiled, longitudinal, staged
     )
 
 
@@ -238,16 +269,21 @@ def scan_layout(spark: SparkSession, layout: Layout, flag_malformed: bool = Fals
 
 
 def _layout_violations(
-    spark: SparkSession, layout: Layout, cdes: Sequence[Cde], longitudinal: bool, profile: Profile
+    spark: SparkSession,
+    layout: Layout,
+    cdes: Sequence[Cde],
+    longitudinal: bool,
+    profile: Profile,
+    staged: DataFrame | None = None,
 ) -> DataFrame:
     """Violations of one layout with its constraints compiled in."""
     flag = profile is not Profile.DATASET_ONLY
     found = validate_rows(
-        scan_layout(spark, layout, flag_malformed=flag),
+        staged if staged is not None else scan_layout(spark, layout, flag_malformed=flag),
         cdes,
         profile=profile,
         longitudinal=longitudinal,
-        key_columns=scan_layout(spark, layout),
+        key_columns=staged if staged is not None else scan_layout(spark, layout),
     )
     return found.select("file", F.lit(layout.model_key).alias("model_key"), *VIOLATION_COLUMNS)
 
