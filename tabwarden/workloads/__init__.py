@@ -6,9 +6,9 @@ from tabwarden.workloads.base import Query
 
 
 def all_queries() -> dict[str, Query]:
-    from tabwarden.workloads import checks, dictionaries
+    from tabwarden.workloads import catalog, checks, dictionaries, primary
 
     merged: dict[str, Query] = {}
-    for module in (checks, dictionaries):
+    for module in (checks, dictionaries, primary, catalog):
         merged.update(module.QUERIES)
     return merged
