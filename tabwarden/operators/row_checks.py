@@ -22,6 +22,7 @@ from tabwarden.functions.text import (
     to_real,
     typed,
 )
+from tabwarden.session import keep_methods_compilable
 from tabwarden.model import (
     DATASET_RULE_RANK,
     MALFORMED,
@@ -42,13 +43,19 @@ MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 VIOLATION_COLUMNS = ["column", "rule", "value", "detail"]
 
 
+# Where the number of a text cell stands while rules are evaluated.
+_NUMBER = "__number_"
+
+
 @dataclass(frozen=True)
 class RowRule:
+    """A condition on the cell of a column and, for ``sql_type`` int or real, on its number."""
+
     column: str
     rule: str
     broken: Column
-    value: Column
     detail: str | None = None
+    sql_type: str = "text"
     names_column: bool = True
 
 
@@ -57,59 +64,55 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def number_of(name: str) -> Column:
+    """The number of a cell, null when its text is no number of the declared type."""
+    return quoted(_NUMBER + name)
+
+
 def null_tokens_of(profile: Profile) -> tuple[str, ...]:
     return EMPTY_ONLY if profile is Profile.LOAD else NA_TOKENS
 
 
 def type_rule(cde: Cde) -> Iterable[RowRule]:
     """A value that is no number of the declared type; text takes everything."""
-    cell = quoted(cde.code)
     if cde.sql_type in ("int", "real"):
-        yield RowRule(
-            cde.code, "type", cell.isNotNull() & typed(cell, cde.sql_type).isNull(), cell, cde.sql_type
-        )
+        broken = quoted(cde.code).isNotNull() & number_of(cde.code).isNull()
+        yield RowRule(cde.code, "type", broken, cde.sql_type, cde.sql_type)
 
 
 def bound_rules(cde: Cde) -> Iterable[RowRule]:
     """Inclusive bounds, each on its own; a value that is no number is left to the type rule."""
-    cell = quoted(cde.code)
-    number = to_int(cell) if cde.sql_type == "int" else to_real(cell)
+    sql_type = cde.sql_type if cde.sql_type == "int" else "real"
+    number = number_of(cde.code)
     if cde.maximum is not None:
-        yield RowRule(cde.code, "above_max", number > F.lit(cde.maximum), cell, str(cde.maximum))
+        yield RowRule(cde.code, "above_max", number > F.lit(cde.maximum), str(cde.maximum), sql_type)
     if cde.minimum is not None:
-        yield RowRule(cde.code, "below_min", number < F.lit(cde.minimum), cell, str(cde.minimum))
+        yield RowRule(cde.code, "below_min", number < F.lit(cde.minimum), str(cde.minimum), sql_type)
 
 
 def enumeration_rule(cde: Cde) -> Iterable[RowRule]:
     """A value of a categorical column outside its codes, compared in the declared type."""
     if not cde.is_categorical or cde.codes is None:
         return
-    cell = quoted(cde.code)
-    if cde.sql_type in ("int", "real"):
-        codes = [typed(F.lit(code), cde.sql_type) for code in cde.codes]
-    else:
-        codes = [F.lit(code) for code in cde.codes]
-    value = typed(cell, cde.sql_type)
+    is_number = cde.sql_type in ("int", "real")
+    value = number_of(cde.code) if is_number else quoted(cde.code)
+    codes = [typed(F.lit(code), cde.sql_type) for code in cde.codes]
     # A code that is no number of the type is null and would make the membership unknown.
     known = F.coalesce(value.isin(*codes), F.lit(False)) if codes else F.lit(False)
-    yield RowRule(cde.code, "not_in_enumeration", value.isNotNull() & ~known, cell)
+    yield RowRule(
+        cde.code, "not_in_enumeration", value.isNotNull() & ~known, sql_type=cde.sql_type if is_number else "text"
+    )
 
 
 def storage_rule(cde: Cde) -> Iterable[RowRule]:
     """A valid value that does not fit the typed table."""
-    cell = quoted(cde.code)
     if cde.sql_type == "text":
-        yield RowRule(
-            cde.code,
-            "storage_fit",
-            F.char_length(cell) > MAX_TEXT_LENGTH,
-            cell,
-            str(MAX_TEXT_LENGTH),
-        )
+        too_long = F.char_length(quoted(cde.code)) > MAX_TEXT_LENGTH
+        yield RowRule(cde.code, "storage_fit", too_long, str(MAX_TEXT_LENGTH))
     if cde.sql_type == "int":
-        number = to_int(cell)
+        number = number_of(cde.code)
         yield RowRule(
-            cde.code, "storage_fit", number.isNotNull() & number.try_cast("int").isNull(), cell, "int"
+            cde.code, "storage_fit", number.isNotNull() & number.try_cast("int").isNull(), "int", "int"
         )
 
 
@@ -117,14 +120,12 @@ def null_key_rules(columns: Sequence[str]) -> Iterable[RowRule]:
     """Longitudinal key columns that must not be null."""
     for column in (SUBJECT_COLUMN, VISIT_COLUMN):
         if column in columns:
-            cell = quoted(column)
-            yield RowRule(column, f"null_{column}", cell.isNull(), cell)
+            yield RowRule(column, f"null_{column}", quoted(column).isNull())
 
 
 def malformed_rule() -> RowRule:
     """A row with too few or too many fields, which the reader has put aside."""
-    text = quoted(MALFORMED)
-    return RowRule(MALFORMED, "malformed_row", text.isNotNull(), text, names_column=False)
+    return RowRule(MALFORMED, "malformed_row", quoted(MALFORMED).isNotNull(), names_column=False)
 
 
 def rules_of(
@@ -152,16 +153,25 @@ def rules_of(
 def apply_rules(
     df: DataFrame, rules: Sequence[RowRule], keys: Sequence[str], tokens: Sequence[str] = NA_TOKENS
 ) -> DataFrame:
-    """Violations of the rules; one narrow stage, no shuffle."""
+    """Violations of the rules; one narrow stage, no shuffle.
+
+    Null tokens and numbers are worked out once per cell and the rules look at the results.
+    Spark would move the filter below that and repeat the work in every rule, were it not
+    for a column that is not deterministic.
+    """
+    if not rules:
+        return df.select(*[quoted(k) for k in keys], *[F.lit(None).cast("string").alias(c) for c in VIOLATION_COLUMNS]).where(F.lit(False))
+    keep_methods_compilable(df.sparkSession)
     columns = list(dict.fromkeys(rule.column for rule in rules))
-    cleaned = df.select(
+    numbers = dict.fromkeys((rule.column, rule.sql_type) for rule in rules if rule.sql_type != "text")
+    cells = df.select(
         F.struct(*[quoted(k) for k in keys]).alias("__row"),
         *[nullify(quoted(c), tokens).alias(c) for c in columns],
+        # No null token is a number, so the raw text will do.
+        *[typed(quoted(c), sql_type).alias(_NUMBER + c) for c, sql_type in numbers],
+        F.spark_partition_id().alias("__partition"),
     )
-    if not rules:
-        cleaned = cleaned.where(F.lit(False))
-    else:
-        cleaned = cleaned.where(reduce(or_, [rule.broken for rule in rules]))
+    broken = cells.where(reduce(or_, [rule.broken for rule in rules]) & (F.col("__partition") >= 0))
     found = F.array_compact(
         F.array(
             *[
@@ -170,17 +180,15 @@ def apply_rules(
                     F.struct(
                         F.lit(rule.column if rule.names_column else None).cast("string").alias("column"),
                         F.lit(rule.rule).alias("rule"),
-                        rule.value.alias("value"),
+                        quoted(rule.column).alias("value"),
                         F.lit(rule.detail).cast("string").alias("detail"),
                     ),
                 )
                 for rule in rules
             ]
         )
-        if rules
-        else F.lit(None).cast("array<struct<column:string,rule:string,value:string,detail:string>>")
     )
-    return cleaned.select("__row", F.explode(found).alias("__v")).select(
+    return broken.select("__row", F.explode(found).alias("__v")).select(
         *[F.col(f"__row.`{k}`").alias(k) for k in keys],
         *[F.col(f"__v.{c}").alias(c) for c in VIOLATION_COLUMNS],
     )
@@ -270,19 +278,26 @@ def cell_violations(cells: DataFrame, keys: Sequence[str], profile: Profile = Pr
 
     Here the constraints are columns of the cell, so one plan serves every layout.
     """
+    keep_methods_compilable(cells.sparkSession)
     value, sql_type = F.col("value"), F.col("sql_type")
     is_int, is_real = sql_type == "int", sql_type == "real"
-    as_int, as_real = to_int(value), to_real(value)
-    number = F.when(is_int, as_int.cast("double")).otherwise(as_real)
+    cells = cells.select(
+        "*",
+        F.when(is_int, to_int(value)).alias("__int"),
+        F.when(~is_int, to_real(value)).alias("__real"),
+        F.spark_partition_id().alias("__partition"),
+    )
+    as_int, as_real = F.col("__int"), F.col("__real")
+    number = F.coalesce(as_int.cast("double"), as_real)
     bad_type = (is_int & as_int.isNull()) | (is_real & as_real.isNull())
     known = (
         F.when(is_int, F.exists("codes", lambda c: F.coalesce(to_int(c) == as_int, F.lit(False))))
         .when(is_real, F.exists("codes", lambda c: F.coalesce(to_real(c) == as_real, F.lit(False))))
         .otherwise(F.array_contains("codes", value))
     )
-    too_large = (
-        (sql_type == "text") & (F.char_length(value) > MAX_TEXT_LENGTH)
-    ) | (is_int & as_int.isNotNull() & as_int.try_cast("int").isNull())
+    too_large = ((sql_type == "text") & (F.char_length(value) > MAX_TEXT_LENGTH)) | (
+        as_int.isNotNull() & as_int.try_cast("int").isNull()
+    )
     conditions = [
         ("type", bad_type, sql_type),
         ("above_max", number > F.col("max"), F.col("max").cast("string")),
@@ -301,7 +316,7 @@ def cell_violations(cells: DataFrame, keys: Sequence[str], profile: Profile = Pr
         )
     )
     return (
-        cells.where(reduce(or_, [c for _, c, _ in conditions]))
+        cells.where(reduce(or_, [c for _, c, _ in conditions]) & (F.col("__partition") >= 0))
         .select(*keys, "column", "value", F.explode(broken).alias("__v"))
         .select(*keys, "column", F.col("__v.rule").alias("rule"), "value", F.col("__v.detail").alias("detail"))
     )

@@ -22,6 +22,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def keep_methods_compilable(spark: SparkSession) -> None:
+    """Have Spark split generated code that the JVM would only interpret.
+
+    HotSpot leaves methods of more than 8000 bytes uncompiled, and Spark's own limit for
+    giving up on one large method is far above that.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir`` of the session.
 

@@ -6,9 +6,9 @@ from tabwarden.workloads.base import Query
 
 
 def all_queries() -> dict[str, Query]:
-    from tabwarden.workloads import catalog, checks, dictionaries, primary
+    from tabwarden.workloads import catalog, checks, dictionaries, folders, primary
 
     merged: dict[str, Query] = {}
-    for module in (checks, dictionaries, primary, catalog):
+    for module in (checks, dictionaries, primary, catalog, folders):
         merged.update(module.QUERIES)
     return merged

@@ -408,3 +408,44 @@ def typed_load(spark, sf_dir):
     write_csv(rows, path)
     cdes = [Cde("c_custkey", "int"), Cde("c_name", "text"), Cde("c_nationkey", "int"), Cde("c_acctbal", "real")]
     return typed_columns(with_nulls(scan_text(spark, path, rows.columns).drop("file"), ("",)), cdes)
+
+
+# Ten rules on the line items, all columns as text.
+_LINE_TEXT = """
+SELECT l_orderkey, l_linenumber, CAST(l_quantity AS string) AS quantity, CAST(l_discount AS string) AS discount,
+       CAST(l_tax AS string) AS tax, CAST(l_partkey AS string) AS partkey,
+       CASE WHEN l_suppkey % 9 = 0 THEN 'n/a' ELSE l_returnflag END AS returnflag, l_linestatus AS linestatus,
+       CAST(l_extendedprice AS string) AS price
+FROM {lineitem}
+"""
+_LINE_CDES = [
+    Cde("quantity", "real", minimum=2.0, maximum=48.0),
+    Cde("discount", "real", maximum=0.09),
+    Cde("tax", "real"),
+    Cde("partkey", "int", minimum=5.0),
+    Cde("returnflag", "text", True, codes=("A", "N")),
+    Cde("linestatus", "text", True, codes=("F",)),
+    Cde("price", "int"),
+]
+_LINE_FOUND = [
+    ("quantity", "above_max", "CAST(quantity AS DOUBLE) > 48", "48.0"),
+    ("quantity", "below_min", "CAST(quantity AS DOUBLE) < 2", "2.0"),
+    ("discount", "above_max", "CAST(discount AS DOUBLE) > 0.09", "0.09"),
+    ("partkey", "below_min", "CAST(partkey AS BIGINT) < 5", "5.0"),
+    ("returnflag", "not_in_enumeration", "returnflag NOT IN ('A', 'N', 'n/a')", None),
+    ("linestatus", "not_in_enumeration", "linestatus <> 'F'", None),
+    ("price", "type", f"NOT regexp_full_match(price, '{_INT}')", "int"),
+]
+
+
+@QUERIES.add(
+    "validate_lineitem",
+    f"WITH t AS ({oracle(_LINE_TEXT)}) "
+    + " UNION ALL ".join(
+        f"""SELECT l_orderkey, l_linenumber, '{column}' AS "column", '{rule}' AS rule, {column} AS value,
+            {"CAST(NULL AS VARCHAR)" if detail is None else f"'{detail}'"} AS detail FROM t WHERE {where}"""
+        for column, rule, where, detail in _LINE_FOUND
+    ),
+)
+def validate_lineitem(spark, sf_dir):
+    return row_checks.row_violations(derive(spark, sf_dir, _LINE_TEXT), _LINE_CDES, ["l_orderkey", "l_linenumber"])

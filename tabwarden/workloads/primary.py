@@ -96,7 +96,7 @@ def _loaded(spark, sf_dir):
     f"""WITH l AS ({oracle(_LINES)}) SELECT * FROM l UNION ALL SELECT * FROM l WHERE dataset = 'A'""",
 )
 def ingest_append(spark, sf_dir):
-    """Two loads; of the second, one dataset is the only live one of its name twice over."""
+    """Two loads, of which one dataset is live twice and the others once."""
     path, schema, live = _loaded(spark, sf_dir)
     return read_primary(spark, path, schema, live)
 
