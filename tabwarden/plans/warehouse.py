@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -99,11 +100,17 @@ class Warehouse:
     def commit(self, frames: Mapping[str, DataFrame]) -> None:
         """Write the given tables and make them current together."""
         version, paths = self._current()
-        for name, frame in frames.items():
-            path = f"{self.root}/{name}/{version + 1}-{uuid.uuid4().hex}"
+        written = {name: f"{self.root}/{name}/{version + 1}-{uuid.uuid4().hex}" for name in frames}
+
+        def write(name: str) -> None:
             wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
-            frame.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(path)
-            paths[name] = path
+            shaped = frames[name].select(*[F.col(f.name).cast(f.dataType) for f in wanted])
+            shaped.write.parquet(written[name])
+
+        # The tables do not depend on each other, so their jobs run side by side.
+        with ThreadPoolExecutor(len(SCHEMAS)) as pool:
+            list(pool.map(write, frames))
+        paths.update(written)
         row = self.spark.createDataFrame([(version + 1, paths)], _COMMIT_SCHEMA)
         row.coalesce(1).write.mode("append").json(f"{self.root}/_commits")
 
