@@ -92,10 +92,14 @@ class Warehouse:
             self.commit(missing)
 
     def table(self, name: str) -> DataFrame:
+        return self.tables([name])[name]
+
+    def tables(self, names: Sequence[str] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
+        """Catalog tables of one and the same commit."""
         paths = self._current()[1]
-        if name not in paths:
+        if not set(names) <= set(paths):
             raise RequestError(ErrorClass.USER_INPUT, "The catalog has to be initialised first.")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(paths[name])
+        return {name: self.spark.read.schema(SCHEMAS[name]).parquet(paths[name]) for name in names}
 
     def commit(self, frames: Mapping[str, DataFrame]) -> None:
         """Write the given tables and make them current together."""
@@ -103,7 +107,8 @@ class Warehouse:
         written = {name: f"{self.root}/{name}/{version + 1}-{uuid.uuid4().hex}" for name in frames}
 
         def write(name: str) -> None:
-            wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
+            schema = SCHEMAS[name]
+            wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
             shaped = frames[name].select(*[F.col(f.name).cast(f.dataType) for f in wanted])
             shaped.write.parquet(written[name])
 
@@ -170,10 +175,7 @@ class Warehouse:
         nothing = csv_text.list_files(self.spark, root, dictionary_glob).where(F.lit(False))
         checked = check_files(self.spark, nothing.withColumn("model_key", F.lit("")), models, cdes)
         self._refuse_invalid(checked)
-        self.commit(self._registered(checked, self._base()))
-
-    def _base(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in SCHEMAS}
+        self.commit(self._registered(checked, self.tables()))
 
     def _registered(self, checked: FolderCheck, base: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         """Model, variable and tag tables with the models of a checked folder added."""
@@ -249,7 +251,7 @@ class Warehouse:
         """
         checked = self.check_dataset(paths, code, version, profile, stage=True)
         self._refuse_invalid(checked)
-        base = self._base()
+        base = self.tables()
         self.commit(self._loaded(checked, {f"{code}:{version}": self.model_id(code, version)}, base, profile, replace))
 
     def load_folder(
@@ -384,7 +386,7 @@ class Warehouse:
         self._delete_models(self.table("data_models"), True)
 
     def _delete_models(self, targets: DataFrame, force: bool) -> None:
-        base = self._base()
+        base = self.tables()
         if not force:
             blocking = catalog.blocking_datasets(targets, base["datasets"])
             if not blocking.isEmpty():
