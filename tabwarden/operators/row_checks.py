@@ -14,15 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.functions.text import (
-    EMPTY_ONLY,
-    NA_TOKENS,
-    nullify,
-    to_int,
-    to_real,
-    typed,
-)
-from tabwarden.session import keep_methods_compilable
+from tabwarden.functions.text import EMPTY_ONLY, NA_TOKENS, nullify, to_int, to_real, typed
 from tabwarden.model import (
     DATASET_RULE_RANK,
     MALFORMED,
@@ -32,6 +24,7 @@ from tabwarden.model import (
     Cde,
     Profile,
 )
+from tabwarden.session import keep_methods_compilable
 
 # Beyond this many checked columns the generated code of one filter gets too large for
 # the JVM; the constraints are then joined to unpivoted cells instead.
@@ -42,7 +35,6 @@ MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 VIOLATION_COLUMNS = ["column", "rule", "value", "detail"]
 
-
 # Where the number of a text cell stands while rules are evaluated.
 _NUMBER = "__number_"
 
@@ -172,23 +164,24 @@ def apply_rules(
         F.spark_partition_id().alias("__partition"),
     )
     broken = cells.where(reduce(or_, [rule.broken for rule in rules]) & (F.col("__partition") >= 0))
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    rule.broken,
-                    F.struct(
-                        F.lit(rule.column if rule.names_column else None).cast("string").alias("column"),
-                        F.lit(rule.rule).alias("rule"),
-                        quoted(rule.column).alias("value"),
-                        F.lit(rule.detail).cast("string").alias("detail"),
-                    ),
-                )
-                for rule in rules
-            ]
-        )
+    # Nulls are dropped after the explode and not inside the array: a lambda over the array
+    # would leave generated code.
+    found = F.array(
+        *[
+            F.when(
+                rule.broken,
+                F.struct(
+                    F.lit(rule.column if rule.names_column else None).cast("string").alias("column"),
+                    F.lit(rule.rule).alias("rule"),
+                    quoted(rule.column).alias("value"),
+                    F.lit(rule.detail).cast("string").alias("detail"),
+                ),
+            )
+            for rule in rules
+        ]
     )
-    return broken.select("__row", F.explode(found).alias("__v")).select(
+    taken_apart = broken.select("__row", F.explode(found).alias("__v")).where("__v IS NOT NULL")
+    return taken_apart.select(
         *[F.col(f"__row.`{k}`").alias(k) for k in keys],
         *[F.col(f"__v.{c}").alias(c) for c in VIOLATION_COLUMNS],
     )
@@ -307,17 +300,16 @@ def cell_violations(cells: DataFrame, keys: Sequence[str], profile: Profile = Pr
     if profile is Profile.LOAD:
         limit = F.when(sql_type == "text", F.lit(str(MAX_TEXT_LENGTH))).otherwise(sql_type)
         conditions.insert(1, ("storage_fit", too_large, limit))
-    broken = F.array_compact(
-        F.array(
-            *[
-                F.when(c, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
-                for rule, c, detail in conditions
-            ]
-        )
+    broken = F.array(
+        *[
+            F.when(c, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
+            for rule, c, detail in conditions
+        ]
     )
     return (
         cells.where(reduce(or_, [c for _, c, _ in conditions]) & (F.col("__partition") >= 0))
         .select(*keys, "column", "value", F.explode(broken).alias("__v"))
+        .where("__v IS NOT NULL")
         .select(*keys, "column", F.col("__v.rule").alias("rule"), "value", F.col("__v.detail").alias("detail"))
     )
 
