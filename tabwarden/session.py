@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_temporary_roots: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     return (
@@ -38,8 +41,12 @@ def shared_root(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = tempfile.mkdtemp(prefix="tabwarden-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors see.")
+        application = spark.sparkContext.applicationId
+        if application not in _temporary_roots:
+            _temporary_roots[application] = tempfile.mkdtemp(prefix="tabwarden-")
+        named = _temporary_roots[application]
     return named.rstrip("/")
 
 
