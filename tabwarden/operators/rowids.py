@@ -1,7 +1,7 @@
 """Gap-free numbers without a global window.
 
-The rows are written once, so that the counting pass and the numbering pass see the same
-rows in the same partitions. What is shared between partitions is one count each.
+The rows are written once; a row is then known by its file and its index in it, whatever
+tasks read it and however often. What the files share is one count each.
 """
 
 from __future__ import annotations
@@ -12,50 +12,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabwarden.session import persisted_copy, shared_root
+from tabwarden.session import persisted_copy
 
-# monotonically_increasing_id() keeps the partition in the upper bits, the row in these.
-_ROW_BITS = 33
+# So many file offsets may be broadcast; beyond, Spark joins as it sees fit.
+MAX_BROADCAST_FILES = 200_000
 
 
 def assign_row_ids(df: DataFrame, id_column: str = "row_id", base: Column | int = 0) -> DataFrame:
     """Add ``id_column`` with base+1 .. base+n in any order. Writes a copy of the rows."""
-    return number_rows(persisted_copy(df, "row-ids"), id_column, base)
+    return number_rows(with_places(persisted_copy(df, "row-ids")), id_column, base)
 
 
 def assign_ordered_ids(
     df: DataFrame, order: Sequence[str | Column], id_column: str = "row_id", base: Column | int = 0
 ) -> DataFrame:
-    """The same in the given order: range partitions, sorted each on its own.
+    """The same in the given order: range partitions, sorted each on its own, one file each.
 
-    Rows that are equal in the order columns may be spread at will over the ranges; give
-    columns that tell the rows apart.
+    Rows that are equal in the order columns come in one partition; give columns that tell
+    the rows apart.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    # A checkpoint keeps every partition as it is; a written table might be split anew.
-    context = ordered.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(ordered.sparkSession))
-    return number_rows(ordered.checkpoint(), id_column, base)
-
-
-def number_rows(stable: DataFrame, id_column: str, base: Column | int) -> DataFrame:
-    """Number rows that come in the same partitions on every pass: written or checkpointed."""
-    stamped = stable.withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", _ROW_BITS)
-    in_part = F.col("__at").bitwiseAND((1 << _ROW_BITS) - 1)
-    counts = stamped.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
-    # One row per partition: this window has as many rows as the job has tasks.
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")
+    return number_rows(with_places(persisted_copy(ordered, "ordered-ids")), id_column, base)
+
+
+def with_places(stored: DataFrame) -> DataFrame:
+    """Add where each row of a Parquet scan is stored."""
+    return stored.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index")
     )
+
+
+def number_rows(placed: DataFrame, id_column: str, base: Column | int = 0) -> DataFrame:
+    """Number rows that carry their place, in the order of files and rows."""
+    counts = placed.groupBy("__file").agg(F.count("*").alias("__rows"))
+    # Writers name the files after their partitions.
+    part = F.regexp_extract("__file", r"part-(\d+)[^/]*\z", 1).try_cast("int")
+    # One row per file: this window has as many rows as the writing job had tasks.
+    before = Window.orderBy(part, "__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    if len(placed.inputFiles()) <= MAX_BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     start = base if isinstance(base, Column) else F.lit(base)
     return (
-        stamped.withColumn("__part", part)
-        .withColumn("__in_part", in_part)
-        .join(F.broadcast(offsets), "__part")  # one row per partition
-        .withColumn(id_column, (start + F.col("__before") + F.col("__in_part") + 1).cast("bigint"))
-        .drop("__at", "__part", "__in_part", "__before")
+        placed.join(offsets, "__file")
+        .withColumn(id_column, (start + F.col("__before") + F.col("__index") + 1).cast("bigint"))
+        .drop("__file", "__index", "__before")
     )
-

@@ -30,7 +30,7 @@ from tabwarden.model import (
 from tabwarden.operators import catalog, tables
 from tabwarden.operators.dictionary import compile_cdes, dataset_codes, primary_schema
 from tabwarden.operators.row_checks import null_tokens_of
-from tabwarden.operators.rowids import assign_ordered_ids, number_rows
+from tabwarden.operators.rowids import assign_ordered_ids, number_rows, with_places
 from tabwarden.plans.validate import FolderCheck, check_files, check_folder, structure
 from tabwarden.session import persisted_copy
 from tabwarden.sources import csv_text
@@ -293,11 +293,12 @@ class Warehouse:
                 continue
             cdes = checked.compiled[key]
             target = primary_schema(cdes)
-            body = T.StructType(target.fields[1:])
+            places = [T.StructField("__file", T.StringType()), T.StructField("__index", T.LongType())]
+            body = T.StructType(target.fields[1:] + places)
             typed = [
                 tables.pad_columns(
                     csv_text.typed_columns(
-                        csv_text.with_nulls(frame.select(*x.columns), null_tokens_of(profile)), cdes
+                        csv_text.with_nulls(with_places(frame), null_tokens_of(profile), x.columns), cdes
                     ),
                     body,
                 )

@@ -12,6 +12,9 @@ from tabwarden.model import DATASET_COLUMN
 
 LOAD = "__load"
 
+# So many live (load, dataset) pairs may be broadcast; they are counted before.
+MAX_BROADCAST_PAIRS = 500_000
+
 
 def append_load(rows: DataFrame, path: str, load: int) -> str:
     """Write one load; no shuffle, a task writes a file per dataset that it holds."""
@@ -26,6 +29,8 @@ def read_primary(
     """Rows of the live ``(load, dataset)`` pairs, in the order of the schema.
 
     Both are partition columns, so a dataset that is not wanted or was deleted is not read.
+    The pairs are counted here, in the catalog: as long as there are not too many they go
+    to the rows and the rows are not shuffled.
     """
     stored = T.StructType(
         [f for f in schema.fields if f.name != DATASET_COLUMN]
@@ -34,5 +39,10 @@ def read_primary(
     rows = spark.read.schema(stored).parquet(path)
     if datasets is not None:
         rows = rows.where(F.col(DATASET_COLUMN).isin(*datasets))
-    alive = live.select(F.col("load").alias(LOAD), F.col("dataset").alias(DATASET_COLUMN)).distinct()
+    alive = live.select(F.col("load").cast("bigint").alias(LOAD), F.col("dataset").alias(DATASET_COLUMN))
+    if datasets is not None:
+        alive = alive.where(F.col(DATASET_COLUMN).isin(*datasets))
+    alive = alive.distinct()
+    if alive.limit(MAX_BROADCAST_PAIRS + 1).count() <= MAX_BROADCAST_PAIRS:
+        alive = F.broadcast(alive)
     return rows.join(alive, [LOAD, DATASET_COLUMN], "left_semi").select(*schema.names)
