@@ -41,3 +41,27 @@ def slices(batches, max_bytes: int, column: str = "text"):
             upto = max(at + 1, int(np.searchsorted(ends, ends[at] + max_bytes, side="right")) - 1)
             yield batch.slice(at, upto - at)
             at = upto
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Make this package importable in Python workers that start elsewhere, once per application."""
+    import os
+    import tempfile
+    import zipfile
+
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    target = os.path.join(tempfile.mkdtemp(prefix="tabwarden-code-"), "tabwarden_code.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, files in os.walk(os.path.join(root, "tabwarden")):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    archive.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(application)

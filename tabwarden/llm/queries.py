@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwarden.llm import chat_format, decontaminate, packing, quality_rules, secret_scan, token_counts, warc_archive
-from tabwarden.llm.oracles import ORACLES
+from tabwarden.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, repeats, secret_scan, token_counts, warc_archive
+from tabwarden.llm.common import ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +33,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination_digests(found)
@@ -46,6 +51,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.count_tokens(_table(spark, sf_dir, "documents"), file))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_documents(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -53,8 +63,10 @@ QUERIES = {
         op2_chat_formatting,
         op3_warc_archive,
         op4_secret_scans,
+        op5_suffix_dedup,
         op6_decontamination,
         op7_best_fit_packing,
         op8_token_counts,
+        op9_jaccard_join,
     )
 }
