@@ -1,8 +1,67 @@
-"""A corpus pipeline of five stages; see STAGES."""
+"""A corpus pipeline of five stages.
 
-STAGES = []
+``toxicity`` drops documents that the classifier calls toxic, ``near_duplicates`` leaves one of
+each component of similar documents, ``decontamination`` drops documents that hold benchmark
+passages, ``secrets`` puts marks in the place of secrets, ``packing`` lays what is left into bins.
+Each stage takes all that the one before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabwarden.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
+from tabwarden.llm.common import ship_package
+from tabwarden.session import persisted_copy
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return jaccard_join.one_of_each(docs.select(*COLUMNS))
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS)
+    return decontaminate.judged(found).where("NOT contaminated").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    redacted = secret_scan.redact(secret_scan.scan_secrets(docs, carry=COLUMNS))
+    changed = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return redacted.withColumn("n_chars", changed).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_duplicates", remove_near_duplicates),
+    ("decontamination", remove_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+
+#: A trained classifier decides the first stage, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = persisted_copy(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

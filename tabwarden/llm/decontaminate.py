@@ -97,16 +97,16 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
 _FOUND = "hits array<struct<start:int,end:int>>, items array<string>"
 
 
-def _search(shared, window: int, keep_text: bool):
+def _search(shared, window: int, carry: list[str]):
     def run(batches):
         import pyarrow as pa
 
         tables = tables_of(shared.value, window)
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 8 << 20, "raw"):
             counts, all_hits, all_items = [], [], []
             before = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for raw, (hits, items) in zip(batch.column("text").to_pylist(), before, strict=True):
+            for raw, (hits, items) in zip(batch.column("raw").to_pylist(), before, strict=True):
                 words = words_in(raw or b"")
                 found, spotted = [(h["start"], h["end"]) for h in hits], set(items)
                 for table in tables:
@@ -123,8 +123,7 @@ def _search(shared, window: int, keep_text: bool):
                 all_hits.append([{"start": s, "end": e} for s, e in merged])
                 all_items.append(sorted(spotted))
             arrays = {
-                "doc_id": batch.column("doc_id"),
-                **({"text": batch.column("text")} if keep_text else {}),
+                **{c: batch.column(c) for c in carry},
                 "n_words": pa.array(counts, pa.int64()),
                 "hits": pa.array(all_hits, spans),
                 "items": pa.array(all_items, pa.list_(pa.string())),
@@ -134,8 +133,14 @@ def _search(shared, window: int, keep_text: bool):
     return run
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: ``doc_id, n_words, hits, items``.
+def find_contamination(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+    carry: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """One row per document: the carried columns with ``n_words, hits, items``.
 
     ``hits`` are the maximal runs (start, end exclusive) of words inside occurrences, ``items``
     the ids with occurring windows, sorted as text. Null texts have no words; items with a null
@@ -144,8 +149,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     """
     spark = documents.sparkSession
     found = documents.select(
-        "doc_id",
-        F.col("text").cast("binary").alias("text"),
+        *(F.col(c).alias(f"own_{c}") for c in carry),
+        F.col("text").cast("binary").alias("raw"),
         F.expr("CAST(array() AS array<struct<start:int,end:int>>)").alias("hits"),
         F.expr("CAST(array() AS array<string>)").alias("items"),
     )
@@ -153,11 +158,12 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     block = next(blocks, [])
     while True:
         after = next(blocks, None)
-        text = "text binary, " if after is not None else ""
-        run = _search(spark.sparkContext.broadcast(block), window, after is not None)
-        found = found.mapInArrow(run, f"doc_id long, {text}n_words long, {_FOUND}")
+        kinds = dict(found.dtypes)
+        passed = [f"own_{c}" for c in carry] + (["raw"] if after is not None else [])
+        run = _search(spark.sparkContext.broadcast(block), window, passed)
+        found = found.mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in passed) + f"n_words long, {_FOUND}")
         if after is None:
-            return found
+            return found.withColumnsRenamed({f"own_{c}": c for c in carry})
         found = persisted_copy(found, "contamination").drop("n_words")
         block = after
 

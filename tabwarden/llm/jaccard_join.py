@@ -362,3 +362,31 @@ def similar_documents(documents: DataFrame, rule: JaccardRule = JaccardRule()) -
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(documents: DataFrame, rule: JaccardRule = JaccardRule()) -> DataFrame:
+    """The documents with one of each component left: the one with the least doc_id (a null id is
+    the largest), among equals the least by text digest, and one of rows equal in both.
+
+    Documents without words stay. All columns stay.
+    """
+    found = persisted_copy(similar_documents(documents, rule), "similar")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")
+    keepers = (
+        found.where("n_shingles > 0")
+        .groupBy(F.coalesce("component_id", F.lit(-1)).alias("component"), F.when(F.col("component_id").isNull(), F.col("node")).alias("own"))
+        .agg(F.min(place).alias("least"))
+        .select("least.*")
+    )
+    without = found.where("n_shingles = 0").select(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node").distinct()
+    key = lambda d: F.xxhash64(F.col("doc_id").isNull(), "doc_id", d)
+    stay = keepers.unionByName(without).select(key("node").alias("key"), F.col("node").alias("kept_node"))
+    again = (
+        found.where("n_shingles > 0").groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
+        .select(key("node").alias("key"))
+    )
+    marked = documents.withColumn("node", F.md5(F.coalesce("text", F.lit("")))).withColumn("key", key("node"))
+    kept = marked.join(stay, (marked["key"] == stay["key"]) & (marked["node"] == stay["kept_node"]), "left_semi")
+    single = kept.join(again, "key", "left_anti")
+    several = kept.join(again, "key", "left_semi").dropDuplicates(["key", "node"])
+    return single.unionByName(several).drop("node", "key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwarden.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, repeats, secret_scan, token_counts, warc_archive
+from tabwarden.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, repeats, secret_scan, token_counts, toxicity, warc_archive
 from tabwarden.llm.common import ship_package
 
 
@@ -56,6 +56,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,5 +75,6 @@ QUERIES = {
         op7_best_fit_packing,
         op8_token_counts,
         op9_jaccard_join,
+        op10_toxicity,
     )
 }

@@ -83,13 +83,10 @@ def wide_tokens(text: str, taken, min_entropy: float):
             yield m.start(), m.end(), "owned", value
 
 
-_SCAN_SCHEMA = (
-    "row long, doc_id long, owner string, repository string, "
-    "candidates array<struct<start:int,end:int,kind:string,digest:string,random:boolean>>"
-)
+_CANDIDATES = "array<struct<start:int,end:int,kind:string,digest:string,random:boolean>>"
 
 
-def _scan(min_entropy: float):
+def _scan(min_entropy: float, passed: list[str]):
     def run(batches):
         import pyarrow as pa
 
@@ -98,9 +95,9 @@ def _scan(min_entropy: float):
                 [("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("digest", pa.string()), ("random", pa.bool_())]
             )
         )
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 8 << 20, "scanned"):
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("scanned").to_pylist():
                 text = text or ""
                 named = named_spans(text)
                 out.append(
@@ -116,8 +113,7 @@ def _scan(min_entropy: float):
                     ]
                 )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("row", "doc_id", "owner", "repository")] + [pa.array(out, kind)],
-                ["row", "doc_id", "owner", "repository", "candidates"],
+                [batch.column(c) for c in passed] + [pa.array(out, kind)], [*passed, "candidates"]
             )
 
     return run
@@ -136,9 +132,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_secrets(
-    documents: DataFrame, rule: Ownership = Ownership(), owner: str = "source", repository: str = "lang"
+    documents: DataFrame,
+    rule: Ownership = Ownership(),
+    owner: str = "source",
+    repository: str = "lang",
+    carry: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """One row per document: ``doc_id, found`` with found an array of (start, end, kind, digest,
+    """One row per document: the carried columns and ``found``, an array of (start, end, kind, digest,
     owners, repositories, verdict), sorted by start, then kind.
 
     Null text is empty; null owners and repositories count as one unknown each. A repository is
@@ -150,12 +150,14 @@ def scan_secrets(
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"),
-        "doc_id",
         named(owner).alias("owner"),
         F.concat_ws("/", named(owner), named(repository)).alias("repository"),
-        "text",
+        *(F.col(c).alias(f"own_{c}") for c in carry),
+        F.col("text").alias("scanned"),
     )
-    scanned = persisted_copy(rows.mapInArrow(_scan(rule.min_entropy), _SCAN_SCHEMA), "secret-scan")
+    kinds, passed = dict(rows.dtypes), rows.columns[:-1]
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in passed) + f"candidates {_CANDIDATES}"
+    scanned = persisted_copy(rows.mapInArrow(_scan(rule.min_entropy, passed), schema), "secret-scan")
     each = scanned.select("row", "owner", "repository", F.explode("candidates").alias("c")).select(
         "row", "owner", "repository", "c.*"
     )
@@ -177,8 +179,31 @@ def scan_secrets(
         )
     )
     kept = "array<struct<start:int,order:int,end:int,kind:string,digest:string,owners:long,repositories:long,verdict:string>>"
-    return scanned.select("row", "doc_id").join(judged, "row", "left").select(
-        "doc_id", F.coalesce(F.col("found").cast(kept), F.array().cast(kept)).alias("found")
+    own = [F.col(f"own_{c}").alias(c) for c in carry]
+    # Rows without a candidate are final where they are; only the others meet their verdicts.
+    clean = scanned.where(F.size("candidates") == 0).select(*own, F.array().cast(kept).alias("found"))
+    met = scanned.where(F.size("candidates") > 0).join(judged, "row", "left")
+    return clean.unionByName(met.select(*own, F.coalesce(F.col("found").cast(kept), F.array().cast(kept)).alias("found")))
+
+
+def redact(scanned: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
+    """Put a mark in the place of every span found in the carried text."""
+    # Spans may overlap; what one covers from its start to the furthest end so far goes once.
+    ends = F.transform("found", lambda s: s["end"])
+    pieces = F.transform(
+        "found",
+        lambda s, i: F.struct(
+            F.when(i == 0, 0).otherwise(F.array_max(F.slice(ends, 1, F.greatest(i, F.lit(1))))).alias("from"),
+            s["start"].alias("to"),
+        ),
+    )
+    kept = F.transform(
+        F.filter(pieces, lambda p: (p["to"] > p["from"]) | (p["from"] == 0)),
+        lambda p: F.substring(F.col(text), p["from"] + 1, p["to"] - p["from"]),
+    )
+    tail = F.substring(F.col(text), F.array_max(ends) + 1, F.length(text))
+    return scanned.withColumn(
+        text, F.when(F.size("found") == 0, F.col(text)).otherwise(F.concat(F.array_join(kept, mark), F.lit(mark), tail))
     )
 
 
