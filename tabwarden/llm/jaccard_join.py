@@ -390,8 +390,9 @@ def one_of_each(documents: DataFrame, rule: JaccardRule = JaccardRule()) -> Data
         found.where("n_shingles > 0").groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
         .select(key("node").alias("key"))
     )
-    marked = documents.withColumn("node", F.md5(F.coalesce("text", F.lit("")))).withColumn("key", key("node"))
-    kept = marked.join(stay, (marked["key"] == stay["key"]) & (marked["node"] == stay["kept_node"]), "left_semi")
-    single = kept.join(again, "key", "left_anti")
-    several = kept.join(again, "key", "left_semi").dropDuplicates(["key", "node"])
-    return single.unionByName(several).drop("node", "key")
+    marked = documents.withColumn("__node", F.md5(F.coalesce("text", F.lit("")))).withColumn("__key", key("__node"))
+    kept = marked.join(stay, (marked["__key"] == stay["key"]) & (marked["__node"] == stay["kept_node"]), "left_semi")
+    again = again.withColumnRenamed("key", "__key")
+    single = kept.join(again, "__key", "left_anti")
+    several = kept.join(again, "__key", "left_semi").dropDuplicates(["__key", "__node"])
+    return single.unionByName(several).drop("__node", "__key")
