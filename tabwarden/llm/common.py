@@ -26,6 +26,16 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
+#: Rows of a few numbers or digests that are sent to all tasks at most.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def counted_broadcast(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if it has at most ``MAX_BROADCAST_ROWS`` rows. It is counted,
+    so it should be cheap: read from a written table."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
 def slices(batches, max_bytes: int, column: str = "text"):
     """Cut Arrow batches so that a piece holds about ``max_bytes`` of the column, one row at least.
 

@@ -30,13 +30,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwarden.llm.common import slices
+from tabwarden.llm.common import counted_broadcast, slices
 from tabwarden.llm.components import component_roots
 from tabwarden.session import persisted_copy
 
-#: So many class numbers (8 bytes each) are sent to all tasks at most; beyond it the texts are shuffled.
-MAX_BROADCAST_CLASSES = 1_000_000
-
 
 @dataclass(frozen=True)
 class JaccardRule:
@@ -348,9 +345,8 @@ def similar_documents(documents: DataFrame, rule: JaccardRule = JaccardRule()) -
     classed = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("class"))
     regions = persisted_copy(contacts(classed, rule), "regions")
     wanted = regions.select("class").distinct().withColumn("wanted", F.lit(True))
-    if wanted.count() <= MAX_BROADCAST_CLASSES:
-        wanted = F.broadcast(wanted)
-    rows = classed.withColumn("node", F.md5("text")).join(wanted, "class", "left")
+    # Beyond what may be broadcast the texts are shuffled by class.
+    rows = classed.withColumn("node", F.md5("text")).join(counted_broadcast(wanted), "class", "left")
     sized = persisted_copy(
         rows.mapInArrow(_sets(rule), "doc_id long, class long, node string, n_shingles long, shingles binary"), "shingles"
     )

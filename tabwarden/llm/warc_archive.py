@@ -15,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwarden.llm.common import only
-from tabwarden.session import scratch
+from tabwarden.llm.common import counted_broadcast, only
+from tabwarden.session import persisted_copy, scratch
 
 CRLF = "\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -137,23 +137,20 @@ def write_archive(pages: DataFrame, root: str, min_bytes: int = 0) -> Archive:
     archive = Archive(root)
     same_row = F.struct("sha256", "page_id", F.coalesce("url", F.lit("")).alias("url"))
     headers = archive.headers(spark)
-    revisits = headers.where("NOT is_response").select(F.xxhash64(same_row).alias("key"), "sha256", "page_id", "url", "copy")
-    revisits = revisits.where("copy = 1").drop("copy")
+    revisits = headers.where("NOT is_response AND copy = 1").select(F.xxhash64(same_row).alias("key"), "sha256")
     stored = rows.withColumn("sha256", F.sha2("payload", 256)).withColumn("key", F.xxhash64(same_row))
+    kept = stored.join(counted_broadcast(revisits), ["key", "sha256"], "left_anti").drop("key")
     # A payload that stands in one response only can be written as it is read. Rows repeated
-    # exactly, and small payloads, may carry one digest in several responses: those are few or
-    # small, and are made one by their digest.
-    several = (
-        headers.where("is_response OR copy > 1")
-        .groupBy("sha256")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .select("sha256")
-    )
-    kept = stored.join(revisits.select("key", "sha256"), ["key", "sha256"], "left_anti").drop("key")
-    once = kept.join(several, "sha256", "left_anti").select("sha256", "payload")
-    shared = kept.join(several, "sha256", "left_semi").groupBy("sha256").agg(F.min("payload").alias("payload"))
-    once.unionByName(shared).write.option("compression", "zstd").parquet(f"{root}/payloads")
+    # exactly, and small payloads, may have several rows left; they are made one by their digest.
+    several = headers.where("is_response OR copy > 1").groupBy("sha256").agg(F.count("*").alias("n")).where("n > 1")
+    several = persisted_copy(several.select("sha256"), "warc-several")
+    if several.isEmpty():
+        once = kept.select("sha256", "payload")
+    else:
+        several = counted_broadcast(several)
+        shared = kept.join(several, "sha256", "left_semi").groupBy("sha256").agg(F.min("payload").alias("payload"))
+        once = kept.join(several, "sha256", "left_anti").select("sha256", "payload").unionByName(shared)
+    once.write.option("compression", "zstd").parquet(f"{root}/payloads")
     return archive
 
 
