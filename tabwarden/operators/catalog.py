@@ -233,7 +233,8 @@ def deletable_models(targets: DataFrame, datasets: DataFrame) -> DataFrame:
 
 def drop_models(table: DataFrame, targets: DataFrame, id_column: str = "data_model_id") -> DataFrame:
     """Rows of a table that do not belong to the targeted models."""
-    gone = targets.select(F.col("data_model_id").alias(id_column)).distinct()
+    # Not made distinct: an aggregate below the join would keep Spark from splitting a hot model.
+    gone = targets.select(F.col("data_model_id").alias(id_column))
     return table.join(gone, id_column, "left_anti")
 
 

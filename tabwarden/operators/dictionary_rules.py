@@ -24,6 +24,7 @@ from tabwarden.model import (
 )
 
 _MODEL = ["model_key", "model_code", "model_version"]
+from tabwarden.session import persisted_copy
 
 
 def _variable_conditions() -> dict[str, Column]:
@@ -144,7 +145,11 @@ def model_violations(models: DataFrame, cdes: DataFrame) -> DataFrame:
 
 
 def dictionary_violations(models: DataFrame, cdes: DataFrame) -> DataFrame:
-    """Every violation of every rule, with its rank and error class."""
+    """Every violation of every rule, with its rank and error class.
+
+    The variables are written first: three rules read them, and flattening is recursive.
+    """
+    cdes = persisted_copy(cdes, "variables")
     found = (
         variable_violations(cdes)
         .unionByName(duplicate_cdes(cdes))

@@ -254,7 +254,7 @@ def _layouts(spark: SparkSession, readable: DataFrame, quoted_newlines: str) ->
     if quoted_newlines == "always":
         whole = paths
     elif quoted_newlines == "detect" and paths:
-        whole = {r["file"] for r in csv_text.quoted_newline_files(spark, sorted(paths)).collect()}
+        whole = {r["file"] for r in csv_text.quoted_newline_files(spark, [csv_text.reader_path(p) for p in sorted(paths)]).collect()}
     grouped: dict[tuple, list[str]] = {}
     for row in rows:
         key = (row["model_key"], tuple(row["columns"]), row["file"] in whole)
@@ -264,7 +264,7 @@ def _layouts(spark: SparkSession, readable: DataFrame, quoted_newlines: str) ->
 
 def scan_layout(spark: SparkSession, layout: Layout, flag_malformed: bool = False) -> DataFrame:
     return csv_text.scan_text(
-        spark, layout.paths, layout.columns, multi_line=layout.multi_line, flag_malformed=flag_malformed
+        spark, [csv_text.reader_path(p) for p in layout.paths], layout.columns, multi_line=layout.multi_line, flag_malformed=flag_malformed
     )
 
 
@@ -299,7 +299,7 @@ def _all_layouts(
     """
     width = max(len(layout.columns) for layout in layouts)
     scans = [
-        csv_text.scan_positions(spark, paths, width, multi_line=whole)
+        csv_text.scan_positions(spark, [csv_text.reader_path(p) for p in paths], width, multi_line=whole)
         for whole in (False, True)
         if (paths := [p for layout in layouts if layout.multi_line is whole for p in layout.paths])
     ]

@@ -7,6 +7,7 @@ changed nothing. One writer at a time is assumed.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -238,7 +239,12 @@ class Warehouse:
                 "bad_enumeration": F.lit(False),
             }
         )
-        files = csv_text.list_files(self.spark, paths).withColumn("model_key", F.lit(f"{code}:{version}"))
+        # A file that is named is read whatever its name; a folder gives its CSV files.
+        name = paths.rstrip("/").rsplit("/", 1)[-1]
+        listed = csv_text.list_files(self.spark, paths, "*" if re.search(r"\.\w+$", name) else "*.csv")
+        if listed.isEmpty():
+            raise RequestError(ErrorClass.USER_INPUT, f"No data file found: {paths}")
+        files = listed.withColumn("model_key", F.lit(f"{code}:{version}"))
         return check_files(self.spark, files, models, cdes, profile=profile, stage=stage)
 
     def add_datasets(

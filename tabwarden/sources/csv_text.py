@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote, urlparse
 
@@ -34,6 +35,12 @@ def list_files(spark: SparkSession, root: str, file_glob: str = "*.csv") -> Data
     )
 
 
+def reader_path(file: str) -> str:
+    """A listed file as a path for the readers: the listing encodes names as in URLs, the
+    readers take them plain and expand patterns."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(file))
+
+
 def folder_of(path):
     return F.regexp_replace(path, "/[^/]*$", "")
 
@@ -89,6 +96,7 @@ def scan_text(
     """
     fields = [T.StructField(c, T.StringType()) for c in columns]
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    reader = reader.option("maxColumns", max(20480, len(fields) + 1))
     if flag_malformed:
         fields.append(T.StructField(MALFORMED, T.StringType()))
         # A pruned parse does not count the fields of a row.

@@ -234,7 +234,7 @@ def validate_folder_verdicts(spark, sf_dir):
 
 _VALID = f"""
 SELECT grp, event_id, dataset, value, event_type FROM ({_GROUPED}) AS g
-WHERE grp IN ('0', '1', '2') AND dataset IN ({quote_all(DATASETS)}) AND event_type IN ({quote_all(EVENT_TYPES)})
+WHERE dataset IN ({quote_all(DATASETS)}) AND event_type IN ({quote_all(EVENT_TYPES)})
   AND value NOT IN ('bad', 'NaN', '1.5f', ' 7') AND CAST(value AS double) BETWEEN 0.5 AND 200
 """
 
@@ -259,7 +259,7 @@ def load_folder(spark, sf_dir):
     house.load_folder(root, dictionary_glob=_DICTIONARIES)
     labels = house.table("datasets").join(house.table("data_models").select("data_model_id", F.col("code").alias("model")), "data_model_id")
     loaded = None
-    for model in ("g0", "g1", "g2"):
+    for model in (f"g{i}" for i in range(9)):
         primary = house.primary(model, "1.0")
         last = primary.agg(F.max("row_id")).scalar()
         part = primary.groupBy("dataset").agg(

@@ -72,3 +72,10 @@ def test_dataset_only_profile_looks_at_no_cells(spark, root):
     assert rules == {
         "missing_dataset_column", "unknown_column", "duplicate_header", "unknown_dataset", "duplicate_key"
     }
+
+
+def test_awkward_names_are_read(spark, trees):
+    folder = "my study %41 [x]"
+    root = trees({f"{folder}/{DICTIONARY_FILE}": STUDY, f"{folder}/süß #1.csv": csv("dataset,var3", "ok,5", "ok,bad")})
+    found = check_folder(spark, root).violations.collect()
+    assert [(r["column"], r["value"]) for r in found] == [("var3", "bad")]

@@ -27,8 +27,8 @@ def found(spark, column, values, profile=Profile.FILE, plan=row_violations):
     [
         ("var4", ["22", None], []),
         ("var4", ["1", "1.1", "22.0", "1e3", "1_000", " 22", "+3"], [(1, "type"), (2, "type"), (3, "type"), (4, "type")]),
-        ("var4", ["1", "not a int"], [(1, "type")]),
-        ("var3", ["5.1", "not a float"], [(1, "type")]),
+        ("var4", ["1", "twelve"], [(1, "type")]),
+        ("var3", ["5.1", "5,5"], [(1, "type")]),
         ("var3", ["1.0d", "1f", "inf", "0x1p4", "6e0", "7.", ".5e2"], [(0, "type"), (1, "type"), (2, "type"), (3, "type")]),
         ("var3", ["nan", "NaN", "", "NA", "null", "None"], []),
         ("var3", ["4", "5"], [(0, "below_min")]),
