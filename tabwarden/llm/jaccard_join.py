@@ -307,7 +307,9 @@ def _links(regions: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
         ).alias("part"),
     )
     order = ["pivot", "part", F.desc("first"), "node"]
-    rows = dealt.join(sets, "class").select("pivot", "part", "many", "first", "node", "shingles")
+    # Within the bound the sets move once, to their regions; beyond it once more, by class.
+    dealt = counted_broadcast(persisted_copy(dealt, "dealt"))
+    rows = sets.join(dealt, "class").select("pivot", "part", "many", "first", "node", "shingles")
     found = persisted_copy(
         rows.repartition("pivot", "part").sortWithinPartitions(*order).mapInArrow(_join_regions(rule, True), _LINKS), "links"
     )
