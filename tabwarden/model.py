@@ -24,6 +24,9 @@ MAX_TEXT_LENGTH = 255
 # Where the CSV reader puts the text of a row that does not fit its header.
 MALFORMED = "__malformed"
 
+# Where a row of a CSV file carries the path of its file; no header has this name.
+PATH = "__path"
+
 SPARK_TYPES = {"text": T.StringType(), "int": T.LongType(), "real": T.DoubleType()}
 
 
@@ -92,6 +95,7 @@ DATASET_RULE_RANK = {
     "null_visitid": 4,
     "unknown_column": 5,
     "duplicate_header": 6,
+    "foreign_header": 6,
     "malformed_row": 7,
     "type": 8,
     "storage_fit": 9,

@@ -27,7 +27,7 @@ from tabwarden.model import (
 from tabwarden.session import keep_methods_compilable
 
 # Beyond this many checked columns the generated code of one filter gets too large for
-# the JVM; the constraints are then joined to unpivoted cells instead.
+# the JVM; the constraints are then joined to unpivoted cells instead, with the same results.
 WIDE_COLUMNS = 100
 
 # What the constraints of one broadcast may hold.
@@ -46,7 +46,7 @@ class RowRule:
     column: str
     rule: str
     broken: Column
-    detail: str | None = None
+    detail: str | Column | None = None
     sql_type: str = "text"
     names_column: bool = True
 
@@ -77,9 +77,9 @@ def bound_rules(cde: Cde) -> Iterable[RowRule]:
     sql_type = cde.sql_type if cde.sql_type == "int" else "real"
     number = number_of(cde.code)
     if cde.maximum is not None:
-        yield RowRule(cde.code, "above_max", number > F.lit(cde.maximum), str(cde.maximum), sql_type)
+        yield RowRule(cde.code, "above_max", number > F.lit(cde.maximum), F.lit(cde.maximum).cast("string"), sql_type)
     if cde.minimum is not None:
-        yield RowRule(cde.code, "below_min", number < F.lit(cde.minimum), str(cde.minimum), sql_type)
+        yield RowRule(cde.code, "below_min", number < F.lit(cde.minimum), F.lit(cde.minimum).cast("string"), sql_type)
 
 
 def enumeration_rule(cde: Cde) -> Iterable[RowRule]:
@@ -158,7 +158,8 @@ def apply_rules(
     numbers = dict.fromkeys((rule.column, rule.sql_type) for rule in rules if rule.sql_type != "text")
     cells = df.select(
         F.struct(*[quoted(k) for k in keys]).alias("__row"),
-        *[nullify(quoted(c), tokens).alias(c) for c in columns],
+        # The text of a malformed row is no cell, even where it reads like a null token.
+        *[quoted(c) if c == MALFORMED else nullify(quoted(c), tokens).alias(c) for c in columns],
         # No null token is a number, so the raw text will do.
         *[typed(quoted(c), sql_type).alias(_NUMBER + c) for c, sql_type in numbers],
         F.spark_partition_id().alias("__partition"),

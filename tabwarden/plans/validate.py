@@ -13,6 +13,7 @@ from tabwarden.functions.text import nullify
 from tabwarden.model import (
     DATASET_COLUMN,
     DICTIONARY_FILE,
+    PATH,
     SUBJECT_COLUMN,
     VISIT_COLUMN,
     Cde,
@@ -37,7 +38,7 @@ from tabwarden.sources.dictionaries import (
 )
 
 # Up to so many layouts each gets a plan with its constraints compiled in; more go
-# through one plan in which the constraints are data.
+# through one plan in which the constraints are data. Both give the same results.
 COMPILED_LAYOUTS = 32
 
 
@@ -264,7 +265,7 @@ def _layouts(spark: SparkSession, readable: DataFrame, quoted_newlines: str) ->
 
 def scan_layout(spark: SparkSession, layout: Layout, flag_malformed: bool = False) -> DataFrame:
     return csv_text.scan_text(
-        spark, [csv_text.reader_path(p) for p in layout.paths], layout.columns, multi_line=layout.multi_line, flag_malformed=flag_malformed
+        spark, [csv_text.reader_path(p) for p in layout.paths], layout.columns, multi_line=layout.multi_line, flag_malformed=flag_malformed, path_column=PATH
     )
 
 
@@ -281,11 +282,12 @@ def _layout_violations(
     found = validate_rows(
         staged if staged is not None else scan_layout(spark, layout, flag_malformed=flag),
         cdes,
+        scope=(PATH,),
         profile=profile,
         longitudinal=longitudinal,
         key_columns=staged if staged is not None else scan_layout(spark, layout),
     )
-    return found.select("file", F.lit(layout.model_key).alias("model_key"), *VIOLATION_COLUMNS)
+    return found.select(F.col(PATH).alias("file"), F.lit(layout.model_key).alias("model_key"), *VIOLATION_COLUMNS)
 
 
 def _all_layouts(
@@ -293,15 +295,17 @@ def _all_layouts(
 ) -> DataFrame:
     """Violations of any number of layouts in one plan.
 
-    Every file is scanned by position; what its cells must hold is one row per file,
+    Every file is scanned by position, with a scan per width of header, so that the reader
+    sees rows with too few or too many fields. What a file's cells must hold is one row per file,
     written out, so that Spark knows its size and broadcasts it or, beyond the threshold,
     shuffles both sides and splits a file that is too large for one task.
     """
-    width = max(len(layout.columns) for layout in layouts)
+    shapes: dict[tuple[int, bool], list[str]] = {}
+    for layout in layouts:
+        paths = shapes.setdefault((len(layout.columns), layout.multi_line), [])
+        paths += [csv_text.reader_path(p) for p in layout.paths]
     scans = [
-        csv_text.scan_positions(spark, [csv_text.reader_path(p) for p in paths], width, multi_line=whole)
-        for whole in (False, True)
-        if (paths := [p for layout in layouts if layout.multi_line is whole for p in layout.paths])
+        csv_text.scan_positions(spark, paths, width, multi_line=whole) for (width, whole), paths in shapes.items()
     ]
     expected = persisted_copy(_expectations(readable, cdes), "expectations")
     rows = reduce(DataFrame.unionByName, scans).join(expected, "file")
@@ -313,6 +317,7 @@ def _all_layouts(
         "file",
         "model_key",
         F.col("cell.expected.column").alias("column"),
+        F.col("cell.cells").alias("raw"),
         nullify(F.col("cell.cells"), tokens).alias("value"),
         "cell.expected.sql_type",
         "cell.expected.min",
@@ -324,14 +329,13 @@ def _all_layouts(
         inside = cells.where("column IS NOT NULL AND value IS NOT NULL")
         found.append(cell_violations(inside, ["file", "model_key"], profile))
         found.append(
-            rows.where(F.exists(F.slice("cells", F.size("expected") + 1, width + 1), lambda c: c.isNotNull()))
-            .select("file", "model_key", F.array_join("cells", ",").alias("value"))
-            .select(
+            # The cell after the last of the header is the text of a malformed row.
+            cells.where("column IS NULL AND raw IS NOT NULL").select(
                 "file",
                 "model_key",
                 F.lit(None).cast("string").alias("column"),
                 F.lit("malformed_row").alias("rule"),
-                "value",
+                F.col("raw").alias("value"),
                 F.lit(None).cast("string").alias("detail"),
             )
         )

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ from tabwarden.model import (
     DISABLED,
     ENABLED,
     LONGITUDINAL_TAG,
+    PATH,
     ErrorClass,
     Profile,
 )
@@ -35,7 +37,7 @@ from tabwarden.operators.rowids import assign_ordered_ids, number_rows, with_pla
 from tabwarden.plans.validate import FolderCheck, check_files, check_folder, structure
 from tabwarden.session import persisted_copy
 from tabwarden.sources import csv_text
-from tabwarden.sources.primary import append_load, read_primary
+from tabwarden.sources.primary import LOAD, append_load, read_primary
 
 SCHEMAS = {
     "data_models": "data_model_id bigint, code string, version string, label string, status string, body string",
@@ -259,6 +261,8 @@ class Warehouse:
         self._refuse_invalid(checked)
         base = self.tables()
         self.commit(self._loaded(checked, {f"{code}:{version}": self.model_id(code, version)}, base, profile, replace))
+        if replace:
+            self._purge()
 
     def load_folder(
         self, root: str, profile: Profile = Profile.LOAD, dictionary_glob: str = DICTIONARY_FILE
@@ -280,6 +284,7 @@ class Warehouse:
             for r in names.join(frames["data_models"], ["code", "version"]).select("model_key", "data_model_id").collect()
         }
         self.commit({**frames, **self._loaded(checked, ids, frames, profile)})
+        self._purge()
 
     def _loaded(
         self,
@@ -331,7 +336,7 @@ class Warehouse:
                 frame.select(
                     F.lit(model).alias("data_model_id"),
                     F.col(DATASET_COLUMN).alias("code"),
-                    "file",
+                    F.col(PATH).alias("file"),
                     F.array(*[F.lit(c) for c in x.columns]).alias("variables"),
                 )
                 .groupBy("data_model_id", "code")
@@ -371,7 +376,7 @@ class Warehouse:
     # Deletion
 
     def delete_dataset(self, dataset: str, code: str, version: str) -> None:
-        """Drop a dataset from the catalog; its files are not read any more."""
+        """Drop a dataset from the catalog and its rows from the disk."""
         model, identity = self.model_id(code, version), self.dataset_id(dataset, code, version)
         gone = (F.col("data_model_id") == model) & F.col("dataset").eqNullSafe(dataset)
         self.commit(
@@ -382,6 +387,7 @@ class Warehouse:
                 "dataset_properties": self.table("dataset_properties").where(F.col("entity_id") != identity),
             }
         )
+        self._purge()
 
     def delete_data_model(self, code: str, version: str, force: bool = False) -> None:
         """Drop a model; with ``force`` also when it has datasets, which then go with it."""
@@ -416,6 +422,51 @@ class Warehouse:
                 .withColumn("live", F.col("live") & F.col("__dead").isNull()),
             }
         )
+        self._purge()
+
+    def _purge(self) -> None:
+        """Remove from the disk what the last commit does not name: rows of deleted datasets,
+        models and failed loads, and superseded catalog tables.
+
+        Runs after the commit, so a failure in between leaves files that nothing reads and that
+        the next removal takes. Frames of an older commit can't be read afterwards. The driver
+        lists the folders and holds the live ``(model, load, dataset)`` entries of the catalog.
+        """
+        for name, path in self._current()[1].items():
+            current = path.rsplit("/", 1)[1]
+            self._remove(f"{self.root}/{name}/{old}" for old in self._children(f"{self.root}/{name}") if old != current)
+        live: dict[str, dict[str, set[str]]] = {}
+        listed = self.table("loads").where("live").select("data_model_id", "load", "dataset").distinct()
+        for row in listed.toLocalIterator():
+            loads = live.setdefault(str(row["data_model_id"]), {})
+            loads.setdefault(f"{LOAD}={row['load']}", set()).add(row["dataset"])
+        for model in self._children(f"{self.root}/primary"):
+            kept = live.get(model, {})
+            folder = self._primary_path(int(model))
+            if not kept:
+                self._remove([folder])
+                continue
+            for load in self._children(folder):
+                if load not in kept:
+                    self._remove([f"{folder}/{load}"])
+                    continue
+                parts = [p for p in self._children(f"{folder}/{load}") if p.startswith(f"{DATASET_COLUMN}=")]
+                gone = [p for p in parts if unquote(p.split("=", 1)[1]) not in kept[load]]
+                self._remove(f"{folder}/{load}/{p}" for p in gone)
+
+    def _store(self, path: str):
+        """The path and its file system, as Spark's own readers see them."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _children(self, path: str) -> list[str]:
+        place, store = self._store(path)
+        return sorted(s.getPath().getName() for s in store.listStatus(place)) if store.exists(place) else []
+
+    def _remove(self, paths: Iterable[str]) -> None:
+        for path in paths:
+            place, store = self._store(path)
+            store.delete(place, True)
 
     # Status, tags, properties: change frames in, outcomes out
 

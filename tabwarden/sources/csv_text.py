@@ -87,9 +87,12 @@ def scan_text(
     *,
     multi_line: bool = False,
     flag_malformed: bool = False,
+    path_column: str = FILE,
 ) -> DataFrame:
     """Scan files of one layout; every column is text, plus the file it comes from.
 
+    The path stands in ``path_column``, which should be no name of the header.
+
     Spark matches the columns by position, so all paths must have exactly this header.
     With ``flag_malformed`` a row with too few or too many fields carries its text in
     ``__malformed``.
@@ -102,21 +105,23 @@ def scan_text(
         # A pruned parse does not count the fields of a row.
         reader = reader.option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False)
     source = [paths] if isinstance(paths, str) else list(paths)
-    return reader.schema(T.StructType(fields)).csv(source).withColumn(FILE, F.col("_metadata.file_path"))
+    return reader.schema(T.StructType(fields)).csv(source).withColumn(path_column, F.col("_metadata.file_path"))
 
 
 def scan_positions(spark: SparkSession, paths: Sequence[str], width: int, *, multi_line: bool = False) -> DataFrame:
-    """Scan files of any layouts at once as ``(file, cells)``, cells by position.
+    """Scan files whose headers have ``width`` columns as ``(file, cells)``, cells by position.
 
-    ``width`` is the widest header; one cell more shows rows that are too long.
+    One cell more holds the text of a row with too few or too many fields.
     """
-    names = [f"c{i}" for i in range(width + 1)]
+    names = [*(f"c{i}" for i in range(width)), MALFORMED]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("maxColumns", max(20480, width + 1))
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .option("columnPruning", False)
         .schema(schema)
         .csv(list(paths))
         .select(F.col("_metadata.file_path").alias(FILE), F.array(*names).alias("cells"))

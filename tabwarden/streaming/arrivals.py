@@ -1,6 +1,8 @@
 """Arriving CSV files of one layout, checked by the same rules as in batch.
 
-A file source needs a fixed schema, so there is one query per model and header.
+A file source needs a fixed schema, so there is one query per model and header. Rows carry the
+path of their file in ``__path`` and, when they have too few or too many fields, their text in
+``__malformed``.
 """
 
 from __future__ import annotations
@@ -13,36 +15,52 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from tabwarden.functions.text import nullify
-from tabwarden.model import DATASET_COLUMN, Cde, Profile
+from tabwarden.model import DATASET_COLUMN, MALFORMED, PATH, Cde, Profile
 from tabwarden.operators import tables
 from tabwarden.operators.dictionary import primary_schema
-from tabwarden.operators.row_checks import null_tokens_of, row_violations
+from tabwarden.operators.row_checks import VIOLATION_COLUMNS, null_tokens_of, quoted, row_violations
 from tabwarden.plans.validate import validate_rows
-from tabwarden.sources.csv_text import typed_columns, with_nulls
+from tabwarden.sources.csv_text import read_headers, typed_columns, with_nulls
 
 
 def arriving_rows(
-    spark: SparkSession, path: str, columns: Sequence[str], files_per_batch: int | None = None, glob: str = "*.csv"
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    files_per_batch: int | None = None,
+    glob: str = "*.csv",
+    *,
+    multi_line: bool = False,
+    any_header: bool = False,
 ) -> DataFrame:
-    """Stream of text rows with the file that each comes from."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    """Stream of text rows with the file that each comes from.
+
+    A file with another header ends the query, unless ``any_header`` leaves headers to
+    ``validate_then_commit``. ``multi_line`` reads line breaks inside quotes.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, MALFORMED]])
     reader = (
         spark.readStream.option("header", True)
         .option("escape", '"')
-        .option("enforceSchema", False)
+        .option("enforceSchema", any_header)
+        .option("multiLine", multi_line)
+        .option("maxColumns", max(20480, len(columns) + 1))
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .option("columnPruning", False)
         .option("pathGlobFilter", glob)
         .schema(schema)
     )
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(path).withColumn("file", F.col("_metadata.file_path"))
+    return reader.csv(path).withColumn(PATH, F.col("_metadata.file_path"))
 
 
 def arriving_violations(
     rows: DataFrame, cdes: Sequence[Cde], profile: Profile = Profile.FILE, row_keys: Sequence[str] = ()
 ) -> DataFrame:
     """Row rules on a stream; they keep no state."""
-    return row_violations(rows, cdes, ["file", *row_keys], profile)
+    found = row_violations(rows, cdes, [PATH, *row_keys], profile)
+    return found.select(F.col(PATH).alias("file"), *[quoted(k) for k in row_keys], *VIOLATION_COLUMNS)
 
 
 def running_datasets(rows: DataFrame, profile: Profile = Profile.FILE) -> DataFrame:
@@ -63,21 +81,32 @@ def validate_then_commit(
     """Sink that takes a file as a whole or not at all.
 
     Rows of valid files go typed and padded to ``valid_path``, the violations of the others
-    to ``quarantine_path``. Each batch overwrites its own folder, so a replayed batch
-    leaves the same files once.
+    to ``quarantine_path``, a file with another header as ``foreign_header``. Each batch
+    overwrites its own folder, so a replayed batch leaves the same files once. A file without
+    rows commits nothing and breaks nothing.
     """
-    target = T.StructType(primary_schema(list(cdes)).fields[1:] + [T.StructField("file", T.StringType())])
+    target = T.StructType(primary_schema(list(cdes)).fields[1:] + [T.StructField(PATH, T.StringType())])
+    columns = [c for c in rows.columns if c not in (PATH, MALFORMED)]
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            found = validate_rows(batch, cdes, profile=profile, longitudinal=longitudinal)
+            headers = read_headers(batch.select(F.col(PATH).alias("file")).distinct())
+            foreign = headers.where(F.col("columns") != F.array(*[F.lit(c) for c in columns])).select(
+                "file",
+                F.lit(None).cast("string").alias("column"),
+                F.lit("foreign_header").alias("rule"),
+                F.array_join("columns", ",").alias("value"),
+                F.lit(",".join(columns)).alias("detail"),
+            )
+            ours = batch.join(foreign.select(F.col("file").alias(PATH)), PATH, "left_anti")
+            found = validate_rows(ours, cdes, scope=(PATH,), profile=profile, longitudinal=longitudinal)
+            found = found.withColumnRenamed(PATH, "file").unionByName(foreign)
             quarantine = f"{quarantine_path}/batch={batch_id}"
             found.write.mode("overwrite").parquet(quarantine)
-            failed = batch.sparkSession.read.schema(found.schema).parquet(quarantine).select("file").distinct()
-            good = batch.join(failed, "file", "left_anti")
-            names = [c for c in batch.columns if c != "file"]
-            typed = typed_columns(with_nulls(good, null_tokens_of(profile), names), cdes)
+            failed = batch.sparkSession.read.schema(found.schema).parquet(quarantine).select(F.col("file").alias(PATH)).distinct()
+            good = batch.join(failed, PATH, "left_anti")
+            typed = typed_columns(with_nulls(good, null_tokens_of(profile), columns), cdes)
             tables.pad_columns(typed, target).write.mode("overwrite").parquet(f"{valid_path}/batch={batch_id}")
         finally:
             batch.unpersist()

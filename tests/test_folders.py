@@ -18,6 +18,8 @@ FILES = {
     "twice.csv": csv("var1,var1,dataset", "1,2,ok"),
     "stranger.csv": csv("dataset,var1", "ok,1", ",2"),
     "ragged.csv": csv("dataset,var1", "ok,1,2"),
+    "short.csv": csv("dataset,var1", "ok,1", "ok"),
+    "short_null.csv": csv("dataset,var1", "ok,1", "NA"),
 }
 EXPECTED = {
     "valid.csv": None,
@@ -32,6 +34,8 @@ EXPECTED = {
     "twice.csv": "duplicate_header",
     "stranger.csv": "unknown_dataset",
     "ragged.csv": "malformed_row",
+    "short.csv": "malformed_row",
+    "short_null.csv": "malformed_row",
     "CDEsMetadata.json": None,
     "repeated.csv": "duplicate_key",
     "deeper.csv": "no_dictionary",
@@ -66,6 +70,14 @@ def test_verdicts_of_a_tree(spark, root, layouts):
     assert unknown == {"row_id", "extra"}
 
 
+def test_plans_give_the_same_violations(spark, trees):
+    bounds = text(study(["ok"], low=0.0001, high=1e7))
+    root = trees({f"s/{DICTIONARY_FILE}": bounds, "s/a.csv": csv("dataset,var3", "ok,2e7", "ok,0", "ok", "x,1,2"), "s/b.csv": csv("var3,dataset,var1", "2e7,ok")})
+    one, many = (check_folder(spark, root, compiled_layouts=n).violations for n in (32, 0))
+    assert one.count() > 5
+    assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+
+
 def test_dataset_only_profile_looks_at_no_cells(spark, root):
     checked = check_folder(spark, root, profile=Profile.DATASET_ONLY)
     rules = {r["rule"] for r in checked.violations.select("rule").distinct().collect()}

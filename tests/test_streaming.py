@@ -17,6 +17,11 @@ FILES = {
     "3.csv": csv("dataset,value", "b,50", "b,x"),
     "4.csv": csv("dataset,value", "b,5"),
 }
+RAGGED = {
+    "5.csv": csv("dataset,value", "a,1", "a"),
+    "6.csv": csv("dataset,value", "a,2,3"),
+    "7.csv": csv("value,dataset", "1,a"),
+}
 
 
 def run(writer, checkpoint):
@@ -41,13 +46,14 @@ def test_running_datasets(spark, trees, tmp_path):
 
 
 def test_whole_files_or_nothing_and_replay(spark, trees, tmp_path):
-    root, good, bad = trees(FILES), str(tmp_path / "good"), str(tmp_path / "bad")
+    root, good, bad = trees(FILES | RAGGED), str(tmp_path / "good"), str(tmp_path / "bad")
     for checkpoint in ("one", "two"):  # the second run replays every batch from the start
-        writer = validate_then_commit(arriving_rows(spark, root, COLUMNS, 1), CDES, good, bad)
+        writer = validate_then_commit(arriving_rows(spark, root, COLUMNS, 1, any_header=True), CDES, good, bad)
         run(writer, str(tmp_path / checkpoint))
     rows = spark.read.parquet(good)
     assert sorted((r["dataset"], r["value"], r["later"]) for r in rows.collect()) == [
         ("a", 1.0, None), ("b", 2.0, None), ("b", 5.0, None)
     ]
-    failed = {r["file"].rsplit("/", 1)[1] for r in spark.read.parquet(bad).collect()}
-    assert failed == {"2.csv", "3.csv"}
+    failed = {(r["file"].rsplit("/", 1)[1], r["rule"]) for r in spark.read.parquet(bad).collect()}
+    assert {f for f, _ in failed} == {"2.csv", "3.csv", "5.csv", "6.csv", "7.csv"}
+    assert {("5.csv", "malformed_row"), ("6.csv", "malformed_row"), ("7.csv", "foreign_header")} <= failed

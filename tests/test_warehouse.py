@@ -1,8 +1,10 @@
+from pathlib import Path
+
 import pytest
-from samples import csv, study, text, visits
+from samples import csv, model, study, text, variable, visits
 
 from tabwarden.model import DICTIONARY_FILE, DISABLED, ENABLED, ErrorClass
-from tabwarden.plans.warehouse import RequestError, Warehouse
+from tabwarden.plans.warehouse import SCHEMAS, RequestError, Warehouse
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +88,24 @@ def test_life_of_a_catalog(spark, house, root, trees):
     assert [r["code"] for r in house.list_data_models().collect()] == ["visits"]
     house.cleanup()
     assert house.list_data_models().isEmpty() and house.list_datasets().isEmpty()
+
+
+def test_a_variable_may_be_named_like_the_path(spark, tmp_path, trees):
+    dictionary = model("scans", "1.0", [variable("dataset", codes=["d"]), variable("file"), variable("value", "int")])
+    house = Warehouse(spark, str(tmp_path))
+    house.initialise()
+    house.load_folder(trees({f"s/{DICTIONARY_FILE}": text(dictionary), "s/x.csv": csv("dataset,file,value", "d,scan1,3")}))
+    assert [(r["file"], r["value"]) for r in house.primary("scans", "1.0").collect()] == [("scan1", 3)]
+
+
+def test_deleted_rows_leave_the_disk(spark, tmp_path, trees):
+    dictionary = model("scans", "1.0", [variable("dataset", codes=["a b", "c"]), variable("value", "int")])
+    house = Warehouse(spark, str(tmp_path))
+    house.initialise()
+    house.load_folder(trees({f"s/{DICTIONARY_FILE}": text(dictionary), "s/x.csv": csv("dataset,value", "a b,3", "c,4")}))
+    house.delete_dataset("c", "scans", "1.0")
+    assert [(r["dataset"], r["value"]) for r in house.primary("scans", "1.0").collect()] == [("a b", 3)]
+    assert len(list(tmp_path.glob("primary/*/*/dataset=*"))) == 1
+    house.cleanup()
+    assert not list(tmp_path.glob("primary/*"))
+    assert all(len(list(Path(tmp_path, name).iterdir())) == 1 for name in SCHEMAS)
