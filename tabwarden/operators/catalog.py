@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwarden.functions.text import model_name, split_tag
@@ -218,6 +218,49 @@ def parse_tag_requests(requests: DataFrame, expression: str = "expression") -> D
     )
 
 
+def numbered_runs(parsed: DataFrame) -> DataFrame:
+    """Add ``run`` to parsed requests: how often the requests for one tag or key of one entity
+    turned from adding to removing or back before, by ``seq``. Of equal ``seq`` removals come first.
+
+    Requests of one run of a name are of one kind, so runs can be applied one after the other,
+    each for all entities at once.
+    """
+    order = Window.partitionBy("entity_id", F.col("tag").isNull(), F.coalesce("tag", "key")).orderBy("seq", F.desc("remove"))
+    turned = F.coalesce(F.col("remove") != F.lag("remove").over(order), F.lit(False)).cast("int")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return parsed.withColumn("__turned", turned).withColumn("run", F.sum("__turned").over(upto)).drop("__turned")
+
+
+def annotations(entities: DataFrame, tags: DataFrame, properties: DataFrame, id_column: str) -> DataFrame:
+    """One row per entity: its tags in order and its properties as a map, both empty by default."""
+    ordered = tags.groupBy(F.col("entity_id").alias(id_column)).agg(
+        F.sort_array(F.collect_list(F.struct("seq", "tag"))).getField("tag").alias("__tags")
+    )
+    mapped = properties.groupBy(F.col("entity_id").alias(id_column)).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("__properties")
+    )
+    return entities.select(id_column).join(ordered, id_column, "left").join(mapped, id_column, "left").select(
+        id_column,
+        F.coalesce("__tags", F.array().cast("array<string>")).alias("tags"),
+        F.coalesce("__properties", F.create_map().cast("map<string,string>")).alias("properties"),
+    )
+
+
+def overwrite_tags(tags: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The tags with those of the entities in ``wanted (entity_id, tags, ..)`` put in the place of
+    the old ones; a tag that is named twice counts once, a null array is an empty one."""
+    new = wanted.select("entity_id", F.posexplode(F.array_distinct("tags")).alias("at", "tag"))
+    kept = tags.join(wanted.select("entity_id"), "entity_id", "left_anti")
+    return kept.select("entity_id", "tag", "seq").unionByName(new.select("entity_id", "tag", F.col("at").cast("bigint").alias("seq")))
+
+
+def overwrite_properties(properties: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same for ``wanted (entity_id, properties, ..)``, a map."""
+    new = wanted.select("entity_id", F.explode("properties").alias("key", "value"))
+    kept = properties.join(wanted.select("entity_id"), "entity_id", "left_anti")
+    return kept.select("entity_id", "key", "value").unionByName(new)
+
+
 def blocking_datasets(targets: DataFrame, datasets: DataFrame) -> DataFrame:
     """Datasets that keep the targeted models from being deleted, one row each."""
     named = datasets.select("data_model_id", F.col("code").alias("dataset"))

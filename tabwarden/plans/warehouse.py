@@ -255,7 +255,8 @@ class Warehouse:
         """Check CSV files and load them; nothing is loaded unless all of them are valid.
 
         Loading a dataset again appends its rows, with ``replace`` the new rows take the
-        place of the old ones.
+        place of the old ones. The profile DATASET_ONLY, which leaves cells unchecked, registers
+        the datasets and stores no rows.
         """
         checked = self.check_dataset(paths, code, version, profile, stage=True)
         self._refuse_invalid(checked)
@@ -294,7 +295,8 @@ class Warehouse:
         profile: Profile,
         replace: bool = False,
     ) -> dict[str, DataFrame]:
-        """Write the rows of a checked folder, one job per model, and the tables that list them."""
+        """Write the rows of a checked folder, one job per model, and the tables that list them.
+        With the profile DATASET_ONLY just the tables."""
         loads = base["loads"]
         load = (loads.agg(F.max("load")).first()[0] or 0) + 1
         new_loads, carried = [], []
@@ -302,6 +304,19 @@ class Warehouse:
             staged = [(x, frame) for x, frame in checked.staged.items() if x.model_key == key]
             if not staged:
                 continue
+            carried += [
+                frame.select(
+                    F.lit(model).alias("data_model_id"),
+                    F.col(DATASET_COLUMN).alias("code"),
+                    F.col(PATH).alias("file"),
+                    F.array(*[F.lit(c) for c in x.columns]).alias("variables"),
+                )
+                .groupBy("data_model_id", "code")
+                .agg(F.min_by(F.struct("file", "variables"), "file").alias("source"))
+                for x, frame in staged
+            ]
+            if profile is Profile.DATASET_ONLY:
+                continue  # registers the datasets and stores no rows
             cdes = checked.compiled[key]
             target = primary_schema(cdes)
             places = [T.StructField("__file", T.StringType()), T.StructField("__index", T.LongType())]
@@ -332,21 +347,11 @@ class Warehouse:
                     F.lit(True).alias("live"),
                 )
             )
-            carried += [
-                frame.select(
-                    F.lit(model).alias("data_model_id"),
-                    F.col(DATASET_COLUMN).alias("code"),
-                    F.col(PATH).alias("file"),
-                    F.array(*[F.lit(c) for c in x.columns]).alias("variables"),
-                )
-                .groupBy("data_model_id", "code")
-                .agg(F.min_by(F.struct("file", "variables"), "file").alias("source"))
-                for x, frame in staged
-            ]
-        if not new_loads:
+        if not carried:
             return {}
-        added = reduce(DataFrame.unionByName, new_loads)
-        if replace:
+        if new_loads:
+            added = reduce(DataFrame.unionByName, new_loads)
+        if new_loads and replace:
             again = added.select("data_model_id", "dataset").withColumn("__again", F.lit(True))
             loads = loads.join(again, ["data_model_id", "dataset"], "left").select(
                 *[c for c in loads.columns if c != "live"], (F.col("live") & F.col("__again").isNull()).alias("live")
@@ -369,7 +374,7 @@ class Warehouse:
             "*", F.col("source.file").alias("csv_path"), F.col("source.variables").alias("variables")
         )
         return {
-            "loads": loads.unionByName(added),
+            "loads": loads.unionByName(added) if new_loads else loads,
             "datasets": base["datasets"].unionByName(numbered.select(*base["datasets"].columns)),
         }
 
@@ -494,45 +499,61 @@ class Warehouse:
             return "data_models", "data_model_id", self.model_id(code, version)
         return "datasets", "dataset_id", self.dataset_id(dataset, code, version)
 
+    def annotations(self, kind: str) -> DataFrame:
+        """Tags in order and properties as a map, one row per model or dataset."""
+        table, id_column = ("data_models", "data_model_id") if kind == "model" else ("datasets", "dataset_id")
+        base = self.tables([table, f"{kind}_tags", f"{kind}_properties"])
+        return catalog.annotations(base[table], base[f"{kind}_tags"], base[f"{kind}_properties"], id_column)
+
+    def overwrite_annotations(self, kind: str, wanted: DataFrame) -> None:
+        """Put ``(entity_id, tags, properties)`` in the place of all that those entities have."""
+        base = self.tables([f"{kind}_tags", f"{kind}_properties"])
+        self.commit(
+            {
+                f"{kind}_tags": catalog.overwrite_tags(base[f"{kind}_tags"], wanted),
+                f"{kind}_properties": catalog.overwrite_properties(base[f"{kind}_properties"], wanted),
+            }
+        )
+
     def change_tags(self, kind: str, requests: DataFrame) -> DataFrame:
         """Apply ``(entity_id, expression, remove, force, seq)`` to models or datasets.
 
-        ``kind`` is "model" or "dataset". Within a batch removals come before additions.
-        Returns one outcome row per entity and tag or key.
+        ``kind`` is "model" or "dataset". Requests for one tag or key take effect by ``seq``: a
+        batch goes through in as many turns as the name with the most changes between adding and
+        removing needs, mostly one. Returns one outcome row per entity, tag or key, and turn.
         """
-        parsed = catalog.parse_tag_requests(requests)
+        parsed = persisted_copy(catalog.numbered_runs(catalog.parse_tag_requests(requests)), "tag-requests")
         tags, properties = self.table(f"{kind}_tags"), self.table(f"{kind}_properties")
-        by = {
-            name: parsed.where(F.col("operation") == name)
-            for name in ("remove_tag", "add_tag", "remove_property", "add_property")
-        }
-        kept_tags = catalog.remove_tags(tags, by["remove_tag"])
-        kept_properties = catalog.remove_properties(properties, by["remove_property"])
         # New tags come after those of earlier batches.
-        last = F.coalesce(tags.agg(F.max("seq")).scalar(), F.lit(0))
-        additions = by["add_tag"].withColumn("seq", F.col("seq") + last)
-        outcomes = [
-            ("remove_tag", "tag", catalog.tag_removals(tags, by["remove_tag"])),
-            ("add_tag", "tag", catalog.tag_additions(kept_tags, additions)),
-            ("remove_property", "key", catalog.property_removals(properties, by["remove_property"])),
-            ("add_property", "key", catalog.property_additions(kept_properties, by["add_property"])),
-        ]
-        report = reduce(
-            DataFrame.unionByName,
-            [
+        last = tags.agg(F.max("seq")).first()[0] or 0
+        turns = (parsed.agg(F.max("run")).first()[0] or 0) + 1
+        reports = []
+        for turn in range(turns):
+            by = {
+                name: parsed.where((F.col("run") == turn) & (F.col("operation") == name))
+                for name in ("remove_tag", "add_tag", "remove_property", "add_property")
+            }
+            additions = by["add_tag"].withColumn("seq", F.col("seq") + last)
+            outcomes = [
+                ("remove_tag", "tag", catalog.tag_removals(tags, by["remove_tag"])),
+                ("add_tag", "tag", catalog.tag_additions(tags, additions)),
+                ("remove_property", "key", catalog.property_removals(properties, by["remove_property"])),
+                ("add_property", "key", catalog.property_additions(properties, by["add_property"])),
+            ]
+            reports += [
                 frame.select(
                     F.lit(name).alias("operation"), "entity_id", F.col(column).alias("name"), "outcome", "requests", "rejected"
                 )
                 for name, column, frame in outcomes
-            ],
-        )
-        report = persisted_copy(report, "outcomes")
-        self.commit(
-            {
-                f"{kind}_tags": catalog.add_tags(kept_tags, additions),
-                f"{kind}_properties": catalog.add_properties(kept_properties, by["add_property"]),
-            }
-        )
+            ]
+            tags = catalog.add_tags(catalog.remove_tags(tags, by["remove_tag"]), additions)
+            properties = catalog.add_properties(
+                catalog.remove_properties(properties, by["remove_property"]), by["add_property"]
+            )
+            if turn + 1 < turns:
+                tags, properties = persisted_copy(tags, "tags"), persisted_copy(properties, "properties")
+        report = persisted_copy(reduce(DataFrame.unionByName, reports), "outcomes")
+        self.commit({f"{kind}_tags": tags, f"{kind}_properties": properties})
         return report
 
     def tag(

@@ -397,6 +397,50 @@ def load_cdes(spark, sf_dir):
     return catalog.cdes_of_models(rows, derive(spark, sf_dir, _TARGETS))
 
 
+_WANTED = """
+SELECT c_custkey AS entity_id, array('reviewed', lower(c_mktsegment), 'reviewed') AS tags,
+       map('nation', CAST(c_nationkey + 1 AS string), 'name', c_name) AS properties
+FROM {customer} WHERE c_custkey % 3 = 0
+"""
+
+
+@QUERIES.add(
+    "entity_properties",
+    _ctes(d=_DATASETS, t=_TAGS, p=_PROPERTIES)
+    + """SELECT dataset_id,
+           coalesce((SELECT string_agg(tag, ',' ORDER BY seq) FROM t WHERE entity_id = dataset_id), '') AS tags,
+           coalesce((SELECT string_agg(key || '=' || value, ',' ORDER BY key) FROM p WHERE entity_id = dataset_id), '')
+             AS properties
+         FROM d""",
+)
+def entity_properties(spark, sf_dir):
+    """Tags in order and properties of each dataset; here joined to one text each."""
+    read = catalog.annotations(
+        derive(spark, sf_dir, _DATASETS), derive(spark, sf_dir, _TAGS), derive(spark, sf_dir, _PROPERTIES), "dataset_id"
+    )
+    pairs = F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return read.select("dataset_id", F.array_join("tags", ",").alias("tags"), F.array_join(pairs, ",").alias("properties"))
+
+
+@QUERIES.add(
+    "overwrite_properties",
+    _ctes(t=_TAGS, p=_PROPERTIES)
+    + """SELECT entity_id, 'tag' AS kind, tag AS name, CAST(seq AS VARCHAR) AS value FROM t WHERE entity_id % 3 <> 0
+         UNION ALL SELECT c_custkey, 'tag', 'reviewed', '0' FROM customer WHERE c_custkey % 3 = 0
+         UNION ALL SELECT c_custkey, 'tag', lower(c_mktsegment), '1' FROM customer WHERE c_custkey % 3 = 0
+         UNION ALL SELECT entity_id, 'property', key, value FROM p WHERE entity_id % 3 <> 0
+         UNION ALL SELECT c_custkey, 'property', 'nation', CAST(c_nationkey + 1 AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0
+         UNION ALL SELECT c_custkey, 'property', 'name', c_name FROM customer WHERE c_custkey % 3 = 0""",
+)
+def overwrite_properties(spark, sf_dir):
+    """All tags and properties of a third of the datasets replaced."""
+    wanted = derive(spark, sf_dir, _WANTED)
+    tags = catalog.overwrite_tags(derive(spark, sf_dir, _TAGS), wanted)
+    properties = catalog.overwrite_properties(derive(spark, sf_dir, _PROPERTIES), wanted)
+    row = lambda kind, name, value: ("entity_id", F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(value).cast("string").alias("value"))
+    return tags.select(*row("tag", "tag", "seq")).unionByName(properties.select(*row("property", "key", "value")))
+
+
 @QUERIES.add(
     "catalog_changes",
     _ctes(m=_MODELS, d=_DATASETS)

@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from samples import csv, model, study, text, variable, visits
 
-from tabwarden.model import DICTIONARY_FILE, DISABLED, ENABLED, ErrorClass
+from tabwarden.model import DICTIONARY_FILE, DISABLED, ENABLED, ErrorClass, Profile
 from tabwarden.plans.warehouse import SCHEMAS, RequestError, Warehouse
 
 
@@ -109,3 +109,34 @@ def test_deleted_rows_leave_the_disk(spark, tmp_path, trees):
     house.cleanup()
     assert not list(tmp_path.glob("primary/*"))
     assert all(len(list(Path(tmp_path, name).iterdir())) == 1 for name in SCHEMAS)
+
+
+def test_requests_for_one_name_take_effect_in_order(spark, tmp_path, trees):
+    dictionary = model("scans", "1.0", [variable("dataset", codes=["a", "b"]), variable("value", "int")])
+    house = Warehouse(spark, str(tmp_path))
+    house.initialise()
+    house.add_data_models(trees({f"s/{DICTIONARY_FILE}": text(dictionary)}))
+    # Without checks of the cells datasets are registered, and no row is stored.
+    house.add_datasets(trees({"x.csv": csv("dataset,value", "a,bad", "b,4")}), "scans", "1.0", Profile.DATASET_ONLY)
+    assert {r["code"] for r in house.list_datasets().collect()} == {"a", "b"}
+    assert house.primary("scans", "1.0").isEmpty() and house.table("loads").isEmpty()
+
+    requests = [
+        (1, "t", False, False, 1), (1, "t", True, False, 2),
+        (1, "u", True, False, 3), (1, "u", False, False, 4),
+        (1, "k=v", False, False, 5), (1, "k=v", True, False, 6), (1, "k=z", False, False, 7),
+        (2, "w", False, False, 8), (2, "w", False, False, 9),
+    ]
+    frame = spark.createDataFrame(requests, "entity_id bigint, expression string, remove boolean, force boolean, seq bigint")
+    report = {(r["operation"], r["entity_id"], r["name"], r["outcome"], r["rejected"]) for r in house.change_tags("dataset", frame).collect()}
+    assert report == {
+        ("add_tag", 1, "t", "added", 0), ("remove_tag", 1, "t", "removed", 0),
+        ("remove_tag", 1, "u", "missing", 1), ("add_tag", 1, "u", "added", 0),
+        ("add_property", 1, "k", "added", 0), ("remove_property", 1, "k", "removed", 0),
+        ("add_tag", 2, "w", "added", 1),
+    }
+    read = lambda: {r["dataset_id"]: (r["tags"], r["properties"]) for r in house.annotations("dataset").collect()}
+    assert read() == {1: (["u"], {"k": "z"}), 2: (["w"], {})}
+    wanted = spark.createDataFrame([(2, ["y", "x", "y"], {"n": "1"})], "entity_id bigint, tags array<string>, properties map<string,string>")
+    house.overwrite_annotations("dataset", wanted)
+    assert read() == {1: (["u"], {"k": "z"}), 2: (["y", "x"], {"n": "1"})}
