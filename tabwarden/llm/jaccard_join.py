@@ -13,7 +13,9 @@ on a boundary and is replicated to each region.
 link. By the triangle inequality another member x can link to such a y only if
 ``d(x, pivot) - d(y, pivot) <= radius``; only that window is compared. The members left over are
 joined recursively with a pivot of their own, and again only inside windows. A region with many
-members is dealt over tasks that each hold the pivot; what is left over meets once more.
+members is dealt over tasks that each hold the pivot. What is left over is dealt anew, to pivots by
+the rarest of all shingles that it still shares; what stays together even so is cut into blocks,
+and each two blocks meet in a task of their own.
 
 *Classes.* Links make components, by rounds of star contraction on the link table.
 
@@ -292,6 +294,65 @@ def _join_regions(rule: JaccardRule, star_only: bool):
 _LINKS = "a string, b string, pivot long, distance double"
 
 
+def _tokens(batches):
+    """(pivot, node, core, shingles) -> (pivot, node, core, n, token): all shingles of each set."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in slices(batches, 4 << 20, "shingles"):
+        sets = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
+        counts = np.array([len(s) for s in sets], np.int64)
+        at = pa.array(np.repeat(np.arange(len(sets)), counts))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c).take(at) for c in ("pivot", "node", "core")]
+            + [pa.array(np.repeat(counts, counts)), pa.array(np.concatenate(sets))],
+            ["pivot", "node", "core", "n", "token"],
+        )
+
+
+def _dealt_again(left: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
+    """``pivot, part, node``: parts of about ``members`` at most, in which every two members of a
+    region (``pivot, node, core`` rows) meet that could link and are not both in its core.
+
+    Here each member shows all its shingles and rarity is counted inside the region, so members
+    that share a passage and little else no longer meet. A set may be in ``sets`` more than once:
+    that changes counts of a shingle, but for all its members alike.
+    """
+    tokens = sets.select("node", "shingles").join(counted_broadcast(left), "node").select("pivot", "node", "core", "shingles")
+    tokens = persisted_copy(tokens.mapInArrow(_tokens, "pivot long, node string, core boolean, n long, token long"), "left-tokens")
+    ends = (F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = tokens.groupBy("pivot", "token").agg(F.count("*").alias("spread"), *ends).where("low != high")
+    rarest = tokens.join(shared.select("pivot", "token", "spread"), ["pivot", "token"]).groupBy("pivot", "node", "core", "n").agg(
+        F.sort_array(F.collect_set(F.struct("spread", "token"))).alias("met")
+    )
+    needed = F.floor(F.col("n") * (100 - rule.percent) / 100).cast("int") + 1
+    rest = (needed - (F.col("n") - F.size("met"))).cast("int")
+    met = persisted_copy(
+        rarest.withColumn("rest", rest).where("rest > 0")
+        .select("pivot", "node", "core", F.explode(F.slice("met", 1, F.col("rest"))).alias("m"))
+        .select("pivot", "node", "core", F.col("m.token").alias("token")),
+        "left-met",
+    )
+    lows = met.groupBy("pivot", "token").agg(*ends).where("low != high").select("pivot", "token", "low")
+    regions = persisted_copy(
+        met.join(lows, ["pivot", "token"]).select(F.xxhash64("pivot", "low").alias("pivot"), "node", "core").distinct(), "left-regions"
+    )
+    # Blocks of half a part: first those of members outside the core, then those of the core.
+    blocks = lambda core: F.ceil(2 * F.count_if(F.col("core") == core) / rule.members)
+    sized = regions.groupBy("pivot").agg(F.count("*").alias("size"), blocks(False).alias("own"), blocks(True).alias("cores")).where("own > 0")
+    block = F.when(F.col("core"), F.col("own") + F.pmod(F.xxhash64("node"), F.col("cores"))).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("own"))
+    )
+    blocked = regions.join(sized, "pivot").withColumn("total", F.col("own") + F.col("cores")).withColumn("block", block)
+    with_all = F.sequence(F.lit(0).cast("long"), F.when(F.col("core"), F.col("own")).otherwise(F.col("total")) - 1)
+    pairs = F.transform(
+        F.array_except(with_all, F.array("block")),
+        lambda other: F.least(other, F.col("block")) * F.col("total") + F.greatest(other, F.col("block")),
+    )
+    whole = F.col("size") <= rule.members
+    return blocked.select("pivot", F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("part"), "node")
+
+
 def _links(regions: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
     """``a, b``: links between classes, from the regions and the sets of their members."""
     size = F.count("*").over(Window.partitionBy("pivot"))
@@ -326,11 +387,13 @@ def _links(regions: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
         .where(F.col("distance") >= F.col("least") - rule.radius - 1e-9)
         .select("pivot", "node")
     )
-    again = outside.select("pivot", "node").unionByName(core).distinct()
-    rows = again.join(sets.drop("class"), "node").select(
-        "pivot", F.lit(0).alias("part"), F.lit(False).alias("many"), F.lit(False).alias("first"), "node", "shingles"
+    left = outside.select("pivot", "node", F.lit(False).alias("core")).unionByName(core.withColumn("core", F.lit(True)))
+    again = _dealt_again(persisted_copy(left.distinct(), "left"), sets, rule)
+    again = counted_broadcast(persisted_copy(again, "dealt-again"))
+    rows = sets.join(again, "node").select("pivot", "part", F.lit(False).alias("many"), F.lit(False).alias("first"), "node", "shingles")
+    more = (
+        rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "node").mapInArrow(_join_regions(rule, False), _LINKS)
     )
-    more = rows.repartition("pivot").sortWithinPartitions("pivot", "part", "node").mapInArrow(_join_regions(rule, False), _LINKS)
     return links.union(more.select("a", "b"))
 
 

@@ -159,6 +159,32 @@ def test_similar_documents_against_all_pairs(spark, odd_documents, members):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(brute_components(rows))
 
 
+def test_large_regions_of_unlinked_documents_meet_in_small_parts(spark, monkeypatch):
+    rng = random.Random(11)
+    shared = {of: soup(rng, of, 10**9) for of in (80, 125)}
+    rows = [f"{shared[of]} {soup(rng, 150 - of, 10**9)}" for of in (80, 125) for _ in range(70)]
+    for at in (3, 20, 90, 120):  # near copies, one a chain of two
+        changed = rows[at].split()
+        changed[140] = "changed"
+        rows.append(" ".join(changed))
+        changed[:8] = ["start"] * 8
+        rows.append(" ".join(changed))
+    rows = list(enumerate(rows))
+    members, compare = 16, jaccard_join.region_links
+
+    def bounded(nodes, sets, rule):
+        if len(nodes) > 2 * members:
+            raise ValueError(f"{len(nodes)} members in one part")
+        return compare(nodes, sets, rule)
+
+    monkeypatch.setattr(jaccard_join, "region_links", bounded)
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.similar_documents(documents, jaccard_join.JaccardRule(members=members)).collect()
+    want = brute_components(rows)
+    assert len({component for _, _, component in want}) == 140
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(want)
+
+
 def test_one_of_each_component_stays(spark, odd_documents, no_documents):
     left = jaccard_join.one_of_each(odd_documents)
     assert left.columns == odd_documents.columns
