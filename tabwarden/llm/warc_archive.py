@@ -179,15 +179,41 @@ def restore(archive: Archive, spark: SparkSession) -> DataFrame:
 
 def read_records(restored: DataFrame) -> DataFrame:
     """What a reader finds in the records: fields from the header lines, the payload's length
-    and digest from its bytes, which must agree with the header."""
-    head = F.substring_index(F.col("warc").cast("string"), CRLF + CRLF, 1)
-
-    def field(name: str) -> Column:
-        value = F.substring_index(F.substring_index(F.col("head"), CRLF + name + ": ", -1), CRLF, 1)
-        return F.when(F.instr(F.col("head"), CRLF + name + ": ") > 0, value)
-
-    parsed = restored.select(
-        head.alias("head"), F.octet_length("resolved").cast("long").alias("payload_bytes"), base32_sha1(F.col("resolved")).alias("own"),
+    and digest from its bytes, which must agree with the headers. A response's payload is cut out of
+    its own bytes by the lengths that its headers state; ``resolved`` serves revisits alone."""
+    blank = F.lit(CRLF + CRLF).cast("binary")
+    head_of = lambda raw: F.substring_index(F.col(raw).cast("string"), CRLF + CRLF, 1)
+
+    def field(name: str, head: str = "head") -> Column:
+        value = F.substring_index(F.substring_index(F.col(head), CRLF + name + ": ", -1), CRLF, 1)
+        return F.when(F.instr(F.col(head), CRLF + name + ": ") > 0, value)
+
+    def rest(raw: str, head: str) -> Column:
+        return F.substring(raw, F.octet_length(head) + 5, F.octet_length(raw))
+
+    length = lambda head: field("Content-Length", head).cast("int")
+    headed = restored.select("warc", "resolved", head_of("warc").alias("head"))
+    cut = headed.select("head", "resolved", length("head").alias("stated"), rest("warc", "head").alias("after"))
+    blocks = cut.select(
+        "head",
+        "resolved",
+        (F.substring("after", F.col("stated") + 1, F.octet_length("after")) == blank).alias("ends"),
+        F.substring("after", F.lit(1), F.col("stated")).alias("block"),
+    ).withColumn("http", head_of("block"))
+    bodies = blocks.select(
+        "head", "resolved", "ends", length("http").alias("stated"), rest("block", "http").alias("body"),
+        (field("WARC-Type") == "response").alias("own_body"),
+    )
+    payloads = bodies.select(
+        "head", "stated", (F.col("ends") & (F.col("own_body") | (F.octet_length("body") == 0))).alias("whole"),
+        F.when(F.col("own_body"), F.col("body")).otherwise(F.col("resolved")).alias("payload"),
+    )
+    size = F.octet_length("payload")
+    fits = F.col("whole") & (size == F.col("stated"))
+    parsed = payloads.select(
+        "head",
+        F.when(fits, size.cast("long")).otherwise(F.raise_error(F.lit("record is not as long as its headers state"))).alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("own"),
     )
     stated = F.substring(field("WARC-Payload-Digest"), 6, 32)
     number = lambda name: F.nullif(field(name), F.lit("")).cast("long")

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabwarden.llm import bwt_merge, jaccard_join, packing, repeats, toxicity, warc_archive
@@ -42,6 +43,19 @@ def test_archive_ties_nulls_and_repeated_rows(spark):
     assert warc_archive.archive_pages(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before, after, fault",
+    [("x same", "x sane", "digest"), ("Length: 6", "Length: 5", "long"), ("x same", "x same+", "long")],
+)
+def test_records_are_read_from_their_own_bytes(spark, tmp_path, before, after, fault):
+    pages = spark.createDataFrame([(1, "u1", "x same"), (2, "u2", "x same"), (3, "u3", "x")], "page_id long, url string, html string")
+    restored = warc_archive.restore(warc_archive.write_archive(pages, str(tmp_path / "archive")), spark)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc_archive.read_records(restored).collect()) == [(1, 6), (2, 6), (3, 1)]
+    broken = F.encode(F.replace(F.decode("warc", "utf-8"), F.lit(before), F.lit(after)), "utf-8")
+    with pytest.raises(Exception, match=fault):
+        warc_archive.read_records(restored.withColumn("warc", broken)).collect()
+
+
 def removal(raws, length):
     starts = defaultdict(int)
     for raw in raws:
