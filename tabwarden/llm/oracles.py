@@ -129,9 +129,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM rated LEFT JOIN hits USING (r)
 """
 
+_OP12 = """
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS p
+  FROM docs LEFT JOIN marks USING (doc_id)),
+counts AS (
+  SELECT part, p, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM fails GROUP BY part, p),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+  FROM letters v, letters w, letters x, letters y, letters z
+  WHERE v.b | w.b | x.b | y.b | z.b = 31),
+steps AS (
+  SELECT filter_order, k::INT AS step, bits[k] AS own, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS before
+  FROM (SELECT filter_order, bits, unnest([1, 2, 3, 4, 5]) AS k FROM orders)),
+rows AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (p & (own | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (p & own <> 0 AND p & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (p & own <> 0 AND p & before <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (p = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (p & own <> 0 AND p & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(bad) FILTER (p & own <> 0 AND p & before = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM rows
+"""
+
+_OP13 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 ORACLES = {
     "op1_quality_rules": _OP1,
     "op2_chat_formatting": _OP2,
     "op3_warc_archive": _OP3,
     "op6_decontamination": _OP6,
+    "op12_filter_audit": _OP12,
+    "op13_exact_dedup": _OP13,
 }

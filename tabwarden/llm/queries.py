@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tabwarden.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, repeats, secret_scan, token_counts, toxicity, warc_archive
+from pyspark.sql import functions as F
+
+from tabwarden.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    jaccard_join,
+    packing,
+    periodic_runs,
+    quality_rules,
+    repeats,
+    secret_scan,
+    token_counts,
+    toxicity,
+    warc_archive,
+)
 from tabwarden.llm.common import ship_package
 
 
@@ -63,6 +78,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(_table(spark, sf_dir, "documents"), seed=seed))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), digest_all=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,5 +104,8 @@ QUERIES = {
         op8_token_counts,
         op9_jaccard_join,
         op10_toxicity,
+        op11_periodic_runs,
+        op12_filter_audit,
+        op13_exact_dedup,
     )
 }
