@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _temporary_roots: dict[str, str] = {}
+_open_scopes: list[list[str]] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -52,7 +55,29 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _open_scopes:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """The list of the scratch paths that are made inside, for ``remove_scratch`` once what needs them is written."""
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield made
+    finally:
+        _open_scopes[:] = [scope for scope in _open_scopes if scope is not made]
+
+
+def remove_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove scratch paths from the shared folder; those that are gone already don't matter."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def persisted_copy(df: DataFrame, label: str) -> DataFrame:
