@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwarden.llm.bitmap import BITMAP_BITS, key_bitmap, with_hits
 from tabwarden.llm.common import text_of
 from tabwarden.operators.skew import spread_join
 from tabwarden.session import persisted_copy
@@ -18,29 +19,6 @@ from tabwarden.session import persisted_copy
 #: Characters of a text's head.
 HEAD_CHARS = 256
 
-#: Bits of the bitmap of surviving heads: at most 8 MB are broadcast, in rows of 4 KB.
-BITMAP_BITS = 1 << 26
-_ROW_BITS = 1 << 15
-
-
-def _position(bits: int) -> Column:
-    return F.pmod(F.xxhash64("size", "head"), F.lit(bits))
-
-
-def head_bitmap(survivors: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """``bucket, bitmap``: a bit for each (size, head), at most ``bits`` / 32768 rows."""
-    at = survivors.select(_position(bits).alias("position"))
-    return at.groupBy(F.floor(F.col("position") / _ROW_BITS).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.pmod("position", F.lit(_ROW_BITS))).alias("bitmap")
-    )
-
-
-def _in_bitmap(position: Column) -> Column:
-    within = F.pmod(position, F.lit(_ROW_BITS))
-    byte = F.substring(F.col("bitmap"), F.floor(within / 8).cast("int") + 1, F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("long")
-    return F.coalesce(F.getbit(value, F.pmod(within, F.lit(8)).cast("int")) == 1, F.lit(False))
-
 
 def exact_groups(
     documents: DataFrame,
@@ -67,11 +45,9 @@ def exact_groups(
     sizes = heads.groupBy("size").agg(F.count("*").alias("rows")).where("rows > 1")
     same_size = spread_join(heads, persisted_copy(sizes, "dedup-sizes"), ["size"], "rows")
     same_head = same_size.groupBy("size", "head").agg(F.count("*").alias("rows")).where("rows > 1")
-    bitmap = persisted_copy(head_bitmap(same_head, bitmap_bits), "dedup-bitmap")
+    bitmap = key_bitmap(same_head, "size", "head", bits=bitmap_bits)
 
-    position = _position(bitmap_bits)
-    marked = texts.withColumn("bucket", F.floor(position / _ROW_BITS)).join(F.broadcast(bitmap), "bucket", "left")
-    marked = marked.select("doc_id", "text", "size", "head", _in_bitmap(position).alias("survives"))
+    marked = with_hits(texts, bitmap, "size", "head", bits=bitmap_bits, hit="survives")
     digest = F.sha2("text", 256)
     rows = marked.select(
         "doc_id",
