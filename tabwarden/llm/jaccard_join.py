@@ -32,8 +32,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwarden.llm.common import counted_broadcast, slices
+from tabwarden.llm.bitmap import key_bitmap, with_hits
+from tabwarden.llm.common import SPACE, counted_broadcast, slices
 from tabwarden.llm.components import component_roots
+from tabwarden.operators.skew import spread_join
 from tabwarden.session import persisted_copy
 
 
@@ -420,9 +422,11 @@ def similar_documents(documents: DataFrame, rule: JaccardRule = JaccardRule()) -
     placed = sized.select("doc_id", "node", "n_shingles").join(
         roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left"
     )
-    placed = placed.withColumn("root", F.coalesce("root", "node"))
-    least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root", "left").select(
+    placed = persisted_copy(placed.withColumn("root", F.coalesce("root", "node")), "placed")
+    least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("copies"))
+    # A component may hold a third of all documents.
+    named = spread_join(placed, persisted_copy(least, "components"), ["root"], "copies", "left", hot_rows=1000)
+    return named.select(
         "doc_id",
         "node",
         "n_shingles",
@@ -434,26 +438,31 @@ def one_of_each(documents: DataFrame, rule: JaccardRule = JaccardRule()) -> Data
     """The documents with one of each component left: the one with the least doc_id (a null id is
     the largest), among equals the least by text digest, and one of rows equal in both.
 
-    Documents without words stay. All columns stay.
+    Documents without words stay. All columns stay. Everything is decided on ids and digests; then a row
+    stays where it is unless a bitmap of the dropped and the repeated ones hits it. Only rows that are hit are
+    shuffled with their text, once.
     """
     found = persisted_copy(similar_documents(documents, rule), "similar")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")
-    keepers = (
-        found.where("n_shingles > 0")
-        .groupBy(F.coalesce("component_id", F.lit(-1)).alias("component"), F.when(F.col("component_id").isNull(), F.col("node")).alias("own"))
-        .agg(F.min(place).alias("least"))
-        .select("least.*")
+    row = ["unknown", "id", "node"]
+    found = found.where("n_shingles > 0").select(
+        F.col("doc_id").isNull().alias("unknown"),
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
+        "node",
+        F.coalesce("component_id", F.lit(-1)).alias("component"),
+        F.when(F.col("component_id").isNull(), F.col("node")).alias("own"),
     )
-    without = found.where("n_shingles = 0").select(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node").distinct()
-    key = lambda d: F.xxhash64(F.col("doc_id").isNull(), "doc_id", d)
-    stay = keepers.unionByName(without).select(key("node").alias("key"), F.col("node").alias("kept_node"))
-    again = (
-        found.where("n_shingles > 0").groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
-        .select(key("node").alias("key"))
+    rows = found.groupBy(*row, "component", "own").agg(F.count("*").alias("n"))
+    keepers = rows.groupBy("component", "own").agg(F.min(F.struct(*row)).alias("least")).select("least.*", F.lit(True).alias("stays"))
+    special = rows.join(keepers, row, "left").where("stays IS NULL OR n > 1").select(*row, F.col("stays").isNull().alias("gone"))
+    special = persisted_copy(special, "special")
+    bitmap = key_bitmap(special, *row)
+    text = F.coalesce("text", F.lit(""))
+    own = [f"__{c}" for c in row]
+    marked = documents.withColumns(
+        {"__unknown": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__node": F.md5(text)}
     )
-    marked = documents.withColumn("__node", F.md5(F.coalesce("text", F.lit("")))).withColumn("__key", key("__node"))
-    kept = marked.join(stay, (marked["__key"] == stay["key"]) & (marked["__node"] == stay["kept_node"]), "left_semi")
-    again = again.withColumnRenamed("key", "__key")
-    single = kept.join(again, "__key", "left_anti")
-    several = kept.join(again, "__key", "left_semi").dropDuplicates(["__key", "__node"])
-    return single.unionByName(several).drop("__node", "__key")
+    marked = with_hits(marked, bitmap, *own).withColumn("__hit", F.col("__hit") & text.rlike(f"[^{SPACE}]"))
+    in_place = marked.where("NOT __hit")
+    gone = special.where("gone").select(*(F.col(c).alias(f"__{c}") for c in row))
+    others = marked.where("__hit").dropDuplicates(own).join(gone, own, "left_anti")
+    return in_place.unionByName(others).select(*documents.columns)
