@@ -8,7 +8,9 @@ pattern become spans of their own only when they are owner-specific; the named p
 are spans.
 
 Only digests and positions leave the scan. Digests are counted in steps that combine before
-each shuffle, so a value in a third of all documents is one row per task.
+each shuffle, so a value in a third of all documents is one row per task. Texts are scanned once for
+candidates and read once more for the result; those without candidates stay where they are, the
+others meet the verdicts of their text, known by its digest.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.common import slices
+from tabwarden.llm.bitmap import key_bitmap, with_hits
+from tabwarden.llm.common import slices, text_of
+from tabwarden.operators.skew import spread_join
 from tabwarden.session import persisted_copy
 
 #: In the order in which spans of one start are listed. Fixed patterns of the contract.
@@ -38,9 +42,10 @@ _DIGIT = re.compile(r"[0-9]")
 
 @dataclass(frozen=True)
 class Ownership:
-    #: A value with at least so many owners, or repositories, is a copied example.
+    #: A value with at least so many owners, repositories, or different texts is a copied example.
     copied_owners: int = 3
     copied_repositories: int = 5
+    copied_documents: int = 20
     #: Bits per character from which a value looks random.
     min_entropy: float = 3.0
 
@@ -98,7 +103,6 @@ def _scan(min_entropy: float, passed: list[str]):
         for batch in slices(batches, 8 << 20, "scanned"):
             out = []
             for text in batch.column("scanned").to_pylist():
-                text = text or ""
                 named = named_spans(text)
                 out.append(
                     [
@@ -112,25 +116,31 @@ def _scan(min_entropy: float, passed: list[str]):
                         for start, end, which, value in (*named, *wide_tokens(text, named, min_entropy))
                     ]
                 )
+            some = pa.array([bool(candidates) for candidates in out], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in passed] + [pa.array(out, kind)], [*passed, "candidates"]
-            )
+            ).filter(some)
 
     return run
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """``digest, owners, repositories``: distinct owners and repositories of each value."""
+    """``digest, owners, repositories, documents``: distinct owners, repositories and texts (in them) of each value."""
     return (
-        candidates.groupBy("digest", "owner", "repository")
+        candidates.groupBy("digest", "owner", "repository", "node")
         .agg(F.lit(1).alias("one"))
+        .groupBy("digest", "owner", "repository")
+        .agg(F.count("*").alias("in_repository"))
         .groupBy("digest", "owner")
-        .agg(F.count("*").alias("in_owner"))
+        .agg(F.count("*").alias("in_owner"), F.sum("in_repository").alias("in_repository"))
         .groupBy("digest")
-        .agg(F.count("*").alias("owners"), F.sum("in_owner").alias("repositories"))
+        .agg(F.count("*").alias("owners"), F.sum("in_owner").alias("repositories"), F.sum("in_repository").alias("documents"))
     )
 
 
+_FOUND = "array<struct<start:int,order:int,end:int,kind:string,digest:string,owners:long,repositories:long,documents:long,verdict:string>>"
+
+
 def scan_secrets(
     documents: DataFrame,
     rule: Ownership = Ownership(),
@@ -139,55 +149,61 @@ def scan_secrets(
     carry: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """One row per document: the carried columns and ``found``, an array of (start, end, kind, digest,
-    owners, repositories, verdict), sorted by start, then kind.
+    owners, repositories, documents, verdict), sorted by start, then kind.
 
     Null text is empty; null owners and repositories count as one unknown each. A repository is
-    named within its owner. Rows that repeat stay rows of their own, known by a number written
-    with the scan. Positions are code points, ends exclusive. Verdicts: ``copied`` (many owners
-    or repositories), ``live`` (few and random-looking), else ``other``. Other columns are
+    named within its owner. Repeated rows stay rows of their own; equal texts of one repository count as one
+    document. Positions are code points, ends exclusive. Verdicts: ``copied`` (many owners,
+    repositories or documents), ``live`` (few and random-looking), else ``other``. Other columns are
     not looked at.
     """
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = documents.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.md5(text_of()).alias("node"),
         named(owner).alias("owner"),
         F.concat_ws("/", named(owner), named(repository)).alias("repository"),
-        *(F.col(c).alias(f"own_{c}") for c in carry),
-        F.col("text").alias("scanned"),
-    )
-    kinds, passed = dict(rows.dtypes), rows.columns[:-1]
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in passed) + f"candidates {_CANDIDATES}"
-    scanned = persisted_copy(rows.mapInArrow(_scan(rule.min_entropy, passed), schema), "secret-scan")
-    each = scanned.select("row", "owner", "repository", F.explode("candidates").alias("c")).select(
-        "row", "owner", "repository", "c.*"
+        text_of().alias("scanned"),
     )
+    schema = f"node string, owner string, repository string, candidates {_CANDIDATES}"
+    scanned = rows.mapInArrow(_scan(rule.min_entropy, rows.columns[:-1]), schema)
+    scanned = persisted_copy(scanned, "secret-candidates")
+    each = scanned.select("node", "owner", "repository", F.explode("candidates.digest").alias("digest"))
+    spread = persisted_copy(ownership(each), "secret-owners")
+    texts = scanned.groupBy("node").agg(F.first("candidates").alias("candidates"), F.count("*").alias("copies"))
+    texts = texts.select("node", "copies", F.explode("candidates").alias("c")).select("node", "copies", "c.*")
     verdict = (
-        F.when((F.col("owners") >= rule.copied_owners) | (F.col("repositories") >= rule.copied_repositories), "copied")
+        F.when(
+            (F.col("owners") >= rule.copied_owners)
+            | (F.col("repositories") >= rule.copied_repositories)
+            | (F.col("documents") >= rule.copied_documents),
+            "copied",
+        )
         .when(F.col("random"), "live")
         .otherwise("other")
     )
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    span = F.struct("start", order.alias("order"), "end", "kind", "digest", "owners", "repositories", "documents", "verdict")
     judged = (
-        each.join(ownership(each), "digest")
+        spread_join(texts, spread, ["digest"], "documents", "inner")
         .withColumn("verdict", verdict)
         .where("kind != 'owned' OR verdict = 'live'")
-        .groupBy("row")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("start", order.alias("order"), "end", "kind", "digest", "owners", "repositories", "verdict"))
-            ).alias("found")
-        )
+        .groupBy("node")
+        .agg(F.sort_array(F.collect_list(span)).cast(_FOUND).alias("found"), F.max("copies").alias("copies"))
     )
-    kept = "array<struct<start:int,order:int,end:int,kind:string,digest:string,owners:long,repositories:long,verdict:string>>"
-    own = [F.col(f"own_{c}").alias(c) for c in carry]
-    # Rows without a candidate are final where they are; only the others meet their verdicts.
-    clean = scanned.where(F.size("candidates") == 0).select(*own, F.array().cast(kept).alias("found"))
-    met = scanned.where(F.size("candidates") > 0).join(judged, "row", "left")
-    return clean.unionByName(met.select(*own, F.coalesce(F.col("found").cast(kept), F.array().cast(kept)).alias("found")))
+    judged = persisted_copy(judged, "secret-verdicts")
+    results = documents.select(*(F.col(c).alias(f"own_{c}") for c in carry), F.md5(text_of()).alias("node"))
+    results = with_hits(results, key_bitmap(judged, "node"), "node")
+    own, none = [F.col(f"own_{c}").alias(c) for c in carry], F.array().cast(_FOUND)
+    clean = results.where("NOT __hit").select(*own, none.alias("found"))
+    met = spread_join(results.where("__hit"), judged, ["node"], "copies", "left")
+    return clean.unionByName(met.select(*own, F.coalesce("found", none).alias("found")))
 
 
-def redact(scanned: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """Put a mark in the place of every span found in the carried text."""
+def redact(
+    scanned: DataFrame, text: str = "text", mark: str = "[secret]", verdicts: tuple[str, ...] = ("live", "copied", "other")
+) -> DataFrame:
+    """Put a mark in the place of every span of these verdicts in the carried text; ``found`` keeps just these."""
+    scanned = scanned.withColumn("found", F.filter("found", lambda s: s["verdict"].isin(*verdicts)))
     # Spans may overlap; what one covers from its start to the furthest end so far goes once.
     ends = F.transform("found", lambda s: s["end"])
     pieces = F.transform(
