@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-*Voters.* Lexicon voters fire on a word, pattern voters on words that begin alike. They are
-chosen by the likelihood ratio of their firing in labelled documents, the labels of the held-out
-fold apart; nobody votes for what is clean, silence is a vote only through the model.
+*Voters.* Lexicon voters fire on a word, pattern voters on one, two or four different words that begin
+alike. They are chosen by the likelihood ratio of their firing in labelled documents, the labels of the held-out
+and of the tuning fold apart; nobody votes for what is clean, silence is a vote only through the model.
 
 *Label model.* A generative model says how often each voter fires on toxic and on clean
 documents. It is fitted by expectation maximisation to the firing patterns of all documents,
@@ -11,14 +11,15 @@ documents are correlated, and so are those that are silent together on toxic one
 one's weight for firing, and for silence, is divided among those it doubles.
 
 *Classifier.* The posteriors of the label model are the targets of a logistic regression on the
-voters; its probability, calibrated on the labels that may be learned from, is the score.
+voters. Its probability, shifted to the operating point that the labels of the tuning fold choose, is the score.
 
 Sizes: voters and labelled rows are bounded parameters and are what is broadcast. Patterns
-are counted by Spark over all documents; only sums per voter come to the driver.
+are counted by Spark over all documents; only sums per voter or pair of voters come to the driver.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass
 
@@ -38,15 +39,24 @@ class ToxicityRule:
     candidates: int = 4000
     #: Characters of the beginnings that pattern voters look at.
     beginnings: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
+    #: Pattern voters also ask for so many different words that begin alike.
+    least_words: tuple[int, ...] = (2, 4)
     #: Least likelihood ratio statistic of a voter, and least share of toxic among its documents.
     evidence: float = 25.0
     precision: float = 0.5
+    #: A voter must see so many toxic labelled documents, less the cost of each clean one, that
+    #: fewer than ``voters_each`` better voters see.
+    least_new: int = 3
+    clean_cost: float = 1.0
+    voters_each: int = 2
     #: How often a label is taken to be right.
     label_accuracy: float = 0.95
     rounds: int = 6
-    #: Most distinct firing patterns that the classifier is fitted on, the most frequent first.
-    patterns: int = 20_000
+    #: Most steps of Newton's method; it ends when no weight moves any more.
+    newton: int = 12
     folds: int = 5
+    #: The fold whose labels choose the operating point and nothing else.
+    tuning_fold: int = 1
 
 
 @dataclass(frozen=True)
@@ -63,6 +73,13 @@ def held_out(folds: int = 5, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
 
 
+def usable_labels(labels: DataFrame, rule: ToxicityRule) -> DataFrame:
+    """``doc_id, toxic, tuning`` of the labels that may be learned from, one row per document."""
+    marked = labels.select("doc_id", "toxic").where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(rule.folds))
+    tuning = F.crc32(F.col("doc_id").cast("string")) % rule.folds == rule.tuning_fold
+    return marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("tuning", tuning)
+
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,7 +93,7 @@ def signs(word: str, beginnings: tuple[int, ...]) -> list[str]:
     return [word[:n] for n in beginnings if n <= len(word)] + [word + "$"]
 
 
-def _tally(beginnings):
+def _tally(beginnings, least_words):
     """(text, toxic) -> sign, documents with it that are toxic and that are not, per slice."""
 
     def run(batches):
@@ -88,14 +105,16 @@ def _tally(beginnings):
         for batch in slices(batches, 8 << 20):
             counts = Counter(), Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                own: set[str] = set()
+                own: Counter[str] = Counter()
                 for word in distinct_words(text or ""):
                     if word not in known:
                         if len(known) > 200_000:
                             known.clear()
                         known[word] = signs(word, beginnings)
                     own.update(known[word])
-                counts[toxic].update(own)
+                often = [f"{sign}#{k}" for sign, words in own.items() if words > 1 for k in least_words if words >= k]
+                counts[toxic].update(own.keys())
+                counts[toxic].update(often)
             all_signs = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -111,8 +130,7 @@ def _tally(beginnings):
 
 def choose_voters(documents: DataFrame, labels: DataFrame, rule: ToxicityRule) -> tuple[list[str], float]:
     """The voters, and the share of toxic rows among the labelled."""
-    marked = labels.select("doc_id", "toxic").where("toxic IN (0, 1) AND doc_id IS NOT NULL")
-    marked = marked.where(~held_out(rule.folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = usable_labels(labels, rule).where("NOT tuning").drop("tuning")
     # A bounded number of rows by construction, so it may be broadcast.
     marked = marked.orderBy(F.xxhash64("doc_id")).limit(rule.labelled)
     texts = documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "toxic")
@@ -121,7 +139,7 @@ def choose_voters(documents: DataFrame, labels: DataFrame, rule: ToxicityRule) -
     if not n1 or n1 == n:
         return [], (n1 + 1) / (n + 2)
     n0 = n - n1
-    tally = texts.mapInArrow(_tally(rule.beginnings), "sign string, toxic long, clean long")
+    tally = texts.mapInArrow(_tally(rule.beginnings, rule.least_words), "sign string, toxic long, clean long")
     tally = tally.groupBy("sign").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     a, b = F.col("a"), F.col("b")
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -137,16 +155,36 @@ def choose_voters(documents: DataFrame, labels: DataFrame, rule: ToxicityRule) -
         .limit(rule.candidates)
         .collect()
     )
-    chosen: dict[str, tuple[int, int]] = {}
-    for row in top:
-        sign, counts = row["sign"], (row["a"], row["b"])
-        shorter = [sign[:k] for k in range(1, len(sign))]
-        if any(s in chosen and chosen[s][0] >= counts[0] and chosen[s][1] <= 2 * counts[1] + 2 for s in shorter):
-            continue  # a shorter beginning says as much
-        chosen[sign] = counts
-        if len(chosen) == rule.voters:
-            break
-    return list(chosen), n1 / n
+    candidates, clean = [row["sign"] for row in top], [row["b"] for row in top]
+    # Copies of one toxic text make all its words look telling; what better voters see already is no evidence.
+    toxic = firing(texts.where("toxic = 1"), candidates, rule, carry=("toxic",)).select("fired").collect()
+    seen_by: list[list[int]] = [[] for _ in candidates]
+    for document, row in enumerate(toxic):
+        for candidate in row["fired"]:
+            seen_by[candidate].append(document)
+    covered = [0] * len(toxic)
+
+    def gain(candidate: int) -> float:
+        return sum(covered[d] < rule.voters_each for d in seen_by[candidate]) - rule.clean_cost * clean[candidate]
+
+    # Gains only fall, so a candidate is looked at again only when its last gain is the best.
+    heap = [(-gain(c), c) for c in range(len(candidates))]
+    heapq.heapify(heap)
+    chosen, stems = [], []
+    while heap and len(chosen) < rule.voters and -heap[0][0] >= rule.least_new:
+        _, best = heapq.heappop(heap)
+        now = gain(best)
+        stem = re.sub(r"\$$|#\d+$", "", candidates[best])
+        if any(stem.startswith(other) or other.startswith(stem) for other in stems):
+            continue  # says the same as a better voter
+        if heap and now < -heap[0][0]:
+            heapq.heappush(heap, (-now, best))
+        elif now >= rule.least_new:
+            chosen.append(candidates[best])
+            stems.append(stem)
+            for d in seen_by[best]:
+                covered[d] += 1
+    return chosen, n1 / n
 
 
 def _fire(voters, beginnings, carry):
@@ -155,20 +193,25 @@ def _fire(voters, beginnings, carry):
     def run(batches):
         import pyarrow as pa
 
-        number = {v: i for i, v in enumerate(voters.value)}
-        known: dict[str, tuple[int, ...]] = {}
+        # The signs that voters look at, and for each the voters with the words that they ask for.
+        number: dict[str, list[tuple[int, int]]] = {}
+        for i, voter in enumerate(voters.value):
+            sign, _, least = voter.partition("#")
+            number.setdefault(sign, []).append((int(least or 1), i))
+        known: dict[str, tuple[str, ...]] = {}
         for batch in slices(batches, 8 << 20):
             fired = []
             for text in batch.column("text").to_pylist():
-                own: set[int] = set()
+                own: dict[str, int] = {}
                 for word in distinct_words(text or ""):
                     hit = known.get(word)
                     if hit is None:
                         if len(known) > 400_000:
                             known.clear()
-                        hit = known[word] = tuple(number[s] for s in signs(word, beginnings) if s in number)
-                    own.update(hit)
-                fired.append(sorted(own))
+                        hit = known[word] = tuple(s for s in signs(word, beginnings) if s in number)
+                    for sign in hit:
+                        own[sign] = own.get(sign, 0) + 1
+                fired.append(sorted(i for sign, words in own.items() for least, i in number[sign] if words >= least))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in carry] + [pa.array(fired, pa.list_(pa.int32()))], [*carry, "fired"]
             )
@@ -258,14 +301,19 @@ def _together(both, rate):
 
 
 def fit_label_model(patterns: DataFrame, n_voters: int, prior: float, rule: ToxicityRule) -> LabelModel:
-    """Expectation maximisation over ``fired, label, n`` rows."""
+    """Expectation maximisation over ``fired, label, n`` rows, from the rates of the labelled ones."""
     import numpy as np
 
     model = LabelModel(n_voters, prior, rule)
-    for turn in range(rule.rounds):
-        scored = patterns.withColumn("q", model.posterior())
+    for turn in range(rule.rounds + 1):
+        if turn:
+            scored = patterns.withColumn("q", model.posterior())
+        else:
+            scored = patterns.where("label IS NOT NULL").withColumn("q", F.col("label").cast("double"))
         whole = scored.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("q")).alias("q")).first()
-        n, q = float(whole["n"]), float(whole["q"])
+        n, q = float(whole["n"] or 0), float(whole["q"] or 0)
+        if not n:
+            continue
         each = (
             scored.select(F.explode("fired").alias("voter"), "n", (F.col("n") * F.col("q")).alias("nq"))
             .groupBy("voter")
@@ -291,51 +339,92 @@ def fit_label_model(patterns: DataFrame, n_voters: int, prior: float, rule: Toxi
     return model
 
 
+def _newton_sums(w, n_voters: int):
+    """Gradient and curvature of the logistic loss at ``w``, per task: rows (j, k, value), the gradient as k = -1."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        size = n_voters + 1
+        curvature, gradient = np.zeros((size, size)), np.zeros(size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                rows = batch.slice(at, 4096)
+                fired = rows.column("fired")
+                lengths = np.array([len(f) for f in fired.to_pylist()], np.int64)
+                x = np.zeros((rows.num_rows, size))
+                x[:, -1] = 1
+                x[np.repeat(np.arange(rows.num_rows), lengths), fired.flatten().to_numpy()] = 1
+                n, q = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "q"))
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                gradient += x.T @ (n * (p - q))
+                curvature += (x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x
+        j, k = np.nonzero(curvature)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.append(j, np.arange(size)), pa.int32()),
+                pa.array(np.append(k, np.full(size, -1)), pa.int32()),
+                pa.array(np.append(curvature[j, k], gradient)),
+            ],
+            ["j", "k", "value"],
+        )
+
+    return run
+
+
 def fit_classifier(scored: DataFrame, n_voters: int, rule: ToxicityRule) -> tuple[list[float], float]:
-    """Logistic regression of the posteriors on the voters, by Newton's method, on the most
-    frequent patterns."""
+    """Logistic regression of the posteriors on the voters, by Newton's method over all patterns.
+
+    Spark adds up gradient and curvature, so only sums for pairs of voters come to the driver.
+    """
     import numpy as np
 
-    rows = scored.groupBy("fired").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("q")) / F.sum("n")).alias("q"))
-    rows = rows.orderBy(F.desc("n"), "fired").limit(rule.patterns).collect()
-    if not rows:
-        return [0.0] * n_voters, 0.0
-    x = np.zeros((len(rows), n_voters + 1), dtype=np.float32)
-    x[:, -1] = 1
-    for i, row in enumerate(rows):
-        x[i, row["fired"]] = 1
-    weight = np.array([row["n"] for row in rows], float)
-    target = np.array([row["q"] for row in rows], float)
-    w = np.zeros(n_voters + 1)
-    ridge = np.full(n_voters + 1, 1.0)
+    rows = persisted_copy(scored.select("fired", F.col("n").cast("double").alias("n"), "q"), "posteriors")
+    size = n_voters + 1
+    w, ridge = np.zeros(size), np.full(size, 1.0)
     ridge[-1] = 1e-3
-    for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = weight * p * (1 - p) + 1e-9
-        gradient = x.T @ (weight * (p - target)) + ridge * w
-        w -= np.linalg.solve((x * curve[:, None]).T @ x + np.diag(ridge), gradient)
-        w = np.clip(w, -20, 20)
+    for _ in range(rule.newton):
+        sums = rows.mapInArrow(_newton_sums(w, n_voters), "j int, k int, value double")
+        curvature, gradient = np.diag(ridge), ridge * w
+        for row in sums.groupBy("j", "k").agg(F.sum("value")).collect():
+            if row[1] < 0:
+                gradient[row[0]] += row[2]
+            else:
+                curvature[row[0], row[1]] += row[2]
+        moved = np.clip(w - np.linalg.solve(curvature, gradient), -20, 20)
+        done = np.abs(moved - w).max() < 1e-6
+        w = moved
+        if done:
+            break
     return w[:-1].tolist(), float(w[-1])
 
 
-def calibrate(patterns: DataFrame, weights: list[float], bias: float) -> tuple[list[float], float]:
-    """Stretch and shift the odds so that they are those of the labels (two parameters, fitted
-    on the labelled counts by quarter of odds)."""
+def set_operating_point(tuning: DataFrame, weights: list[float], bias: float) -> tuple[list[float], float]:
+    """Shift the odds so that 0.5 is the cut with the least balanced error on the tuning labels.
+
+    ``tuning`` has ``fired, label, n`` of labelled documents whose labels nothing else has seen. Errors on toxic
+    and on clean documents weigh the same: toxic ones are few, and a cut for plain counts would leave out most
+    of those that few voters see. Among the best cuts that in the middle of the widest gap is taken.
+    """
     import numpy as np
 
-    quarter = F.round(_sum_of(weights, bias) * 4) / 4
-    rows = patterns.where("label IS NOT NULL").groupBy(quarter.alias("odds"), "label").agg(F.sum("n").alias("n")).collect()
+    tenth = F.round(_sum_of(weights, bias), 1)
+    rows = tuning.groupBy(tenth.alias("odds"), "label").agg(F.sum("n").alias("n")).orderBy("odds").collect()
     if len({row["label"] for row in rows}) < 2:
         return weights, bias
-    x = np.array([[row["odds"], 1.0] for row in rows])
-    y, n = np.array([float(row["label"]) for row in rows]), np.array([float(row["n"]) for row in rows])
-    w, start = np.array([1.0, 0.0]), np.array([1.0, 0.0])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (n * (p - y)) + (w - start)
-        w = w - np.linalg.solve((x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + np.eye(2), gradient)
-        w = np.clip(w, [0.1, -20], [10, 20])
-    return [float(v * w[0]) for v in weights], float(bias * w[0] + w[1])
+    levels = np.unique([row["odds"] for row in rows])
+    share = np.zeros((2, len(levels)))
+    for row in rows:
+        share[row["label"], np.searchsorted(levels, row["odds"])] += row["n"]
+    share /= share.sum(axis=1, keepdims=True)
+    # Error of calling toxic what lies above level i.
+    error = np.cumsum(share[1])[:-1] + 1 - np.cumsum(share[0])[:-1]
+    if not len(error) or error.min() >= 1:
+        return weights, bias
+    gaps = np.where(error <= error.min() + 1e-9, np.diff(levels), 0)
+    at = int(np.argmax(gaps))
+    return weights, bias - float(levels[at] + levels[at + 1]) / 2
 
 
 def train(documents: DataFrame, labels: DataFrame, rule: ToxicityRule = ToxicityRule()) -> ToxicityModel:
@@ -346,15 +435,16 @@ def train(documents: DataFrame, labels: DataFrame, rule: ToxicityRule = Toxicity
     voters, prior = choose_voters(documents, labels, rule)
     if not voters:
         return ToxicityModel((), (), math.log(prior / (1 - prior)) if 0 < prior < 1 else -3.0)
-    marked = labels.select("doc_id", "toxic").where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(rule.folds))
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    marked = usable_labels(labels, rule).select("doc_id", F.col("toxic").alias("label"), "tuning")
     fired = firing(documents, voters, rule)
-    patterns = persisted_copy(
-        fired.join(marked, "doc_id", "left").groupBy("fired", "label").agg(F.count("*").alias("n")), "patterns"
+    seen = persisted_copy(
+        fired.join(marked, "doc_id", "left").groupBy("fired", "label", "tuning").agg(F.count("*").alias("n")), "patterns"
     )
+    known = F.when(~F.col("tuning"), F.col("label"))
+    patterns = persisted_copy(seen.groupBy("fired", known.alias("label")).agg(F.sum("n").alias("n")), "known-patterns")
     model = fit_label_model(patterns, len(voters), prior, rule)
     weights, bias = fit_classifier(patterns.withColumn("q", model.posterior()), len(voters), rule)
-    weights, bias = calibrate(patterns, weights, bias)
+    weights, bias = set_operating_point(seen.where("tuning"), weights, bias)
     return ToxicityModel(tuple(voters), tuple(weights), bias)
 
 
