@@ -103,7 +103,7 @@ def _search(shared, window: int, carry: list[str]):
 
         tables = tables_of(shared.value, window)
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in slices(batches, 8 << 20, "raw"):
+        for batch in slices(batches, 2 << 20, "raw"):
             counts, all_hits, all_items = [], [], []
             before = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
             for raw, (hits, items) in zip(batch.column("raw").to_pylist(), before, strict=True):

@@ -100,7 +100,7 @@ def _scan(min_entropy: float, passed: list[str]):
                 [("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("digest", pa.string()), ("random", pa.bool_())]
             )
         )
-        for batch in slices(batches, 8 << 20, "scanned"):
+        for batch in slices(batches, 2 << 20, "scanned"):
             out = []
             for text in batch.column("scanned").to_pylist():
                 named = named_spans(text)

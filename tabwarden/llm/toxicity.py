@@ -102,13 +102,13 @@ def _tally(beginnings, least_words):
         import pyarrow as pa
 
         known: dict[str, list[str]] = {}
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 2 << 20):
             counts = Counter(), Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own: Counter[str] = Counter()
                 for word in distinct_words(text or ""):
                     if word not in known:
-                        if len(known) > 200_000:
+                        if len(known) > 30_000:
                             known.clear()
                         known[word] = signs(word, beginnings)
                     own.update(known[word])
@@ -199,14 +199,14 @@ def _fire(voters, beginnings, carry):
             sign, _, least = voter.partition("#")
             number.setdefault(sign, []).append((int(least or 1), i))
         known: dict[str, tuple[str, ...]] = {}
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 2 << 20):
             fired = []
             for text in batch.column("text").to_pylist():
                 own: dict[str, int] = {}
                 for word in distinct_words(text or ""):
                     hit = known.get(word)
                     if hit is None:
-                        if len(known) > 400_000:
+                        if len(known) > 60_000:
                             known.clear()
                         hit = known[word] = tuple(s for s in signs(word, beginnings) if s in number)
                     for sign in hit:
