@@ -53,15 +53,20 @@ def slices(batches, max_bytes: int, column: str = "text"):
             at = upto
 
 
+#: Bytes of an Arrow batch sent to a Python worker, one row at least.
+ARROW_BYTES = 4 << 20
+
 _shipped: set[str] = set()
 
 
 def ship_package(spark) -> None:
-    """Make this package importable in Python workers that start elsewhere, once per application."""
+    """Make this package importable in Python workers that start elsewhere, once per application, and
+    bound what one Arrow batch brings to them, as texts may be long."""
     import os
     import tempfile
     import zipfile
 
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return

@@ -108,7 +108,7 @@ def _tally(beginnings, least_words):
                 own: Counter[str] = Counter()
                 for word in distinct_words(text or ""):
                     if word not in known:
-                        if len(known) > 30_000:
+                        if len(known) > 100_000:
                             known.clear()
                         known[word] = signs(word, beginnings)
                     own.update(known[word])
@@ -206,7 +206,7 @@ def _fire(voters, beginnings, carry):
                 for word in distinct_words(text or ""):
                     hit = known.get(word)
                     if hit is None:
-                        if len(known) > 60_000:
+                        if len(known) > 200_000:
                             known.clear()
                         hit = known[word] = tuple(s for s in signs(word, beginnings) if s in number)
                     for sign in hit:
@@ -343,23 +343,19 @@ def _newton_sums(w, n_voters: int):
     """Gradient and curvature of the logistic loss at ``w``, per task: rows (j, k, value), the gradient as k = -1."""
 
     def run(batches):
+        import math
+
         import numpy as np
         import pyarrow as pa
 
         size = n_voters + 1
         curvature, gradient = np.zeros((size, size)), np.zeros(size)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                rows = batch.slice(at, 4096)
-                fired = rows.column("fired")
-                lengths = np.array([len(f) for f in fired.to_pylist()], np.int64)
-                x = np.zeros((rows.num_rows, size))
-                x[:, -1] = 1
-                x[np.repeat(np.arange(rows.num_rows), lengths), fired.flatten().to_numpy()] = 1
-                n, q = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "q"))
-                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                gradient += x.T @ (n * (p - q))
-                curvature += (x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x
+            for fired, n, q in zip(*(batch.column(c).to_pylist() for c in ("fired", "n", "q")), strict=True):
+                at = [*fired, n_voters]
+                p = 1 / (1 + math.exp(-min(max(w[at].sum(), -30), 30)))
+                gradient[at] += n * (p - q)
+                curvature[np.ix_(at, at)] += n * p * (1 - p) + 1e-9
         j, k = np.nonzero(curvature)
         yield pa.RecordBatch.from_arrays(
             [
