@@ -150,8 +150,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", partition_b
     writer.csv(path)
 
 
-def _header_probe() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The probe as a local function, which goes to the executors by value.
+def _first_record() -> Callable[[str], list[str]]:
+    """The probe of one file as a local function, which goes to the executors by value.
 
     So they need no copy of this package.
     """
@@ -169,6 +169,12 @@ def _header_probe() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]
             text = io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")
             return next((record for record in csv.reader(text) if record), [])
 
+    return first_record
+
+
+def _header_probe() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    first_record = _first_record()
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame(
@@ -176,3 +182,19 @@ def _header_probe() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]
             )
 
     return probe
+
+
+def header_lookup():
+    """A function column: the first record of the file under a path, opened once per task and file."""
+    first_record = _first_record()
+
+    def lookup(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[str]] = {}
+        for batch in paths:
+            for path in batch.unique():
+                if path not in known:
+                    known[path] = first_record(path)
+            yield batch.map(known)
+
+    lookup.__annotations__ = {"paths": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(lookup, "array<string>")

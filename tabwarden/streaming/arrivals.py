@@ -1,6 +1,7 @@
-"""Arriving CSV files of one layout, checked by the same rules as in batch.
+"""Arriving CSV files, checked by the same rules as in batch.
 
-A file source needs a fixed schema, so there is one query per model and header. Rows carry the
+A file source needs a fixed schema. ``arriving_rows`` takes files of one header; ``arriving_by_header`` takes
+files of any header by position and names the cells by the header of their own file. Rows carry the
 path of their file in ``__path`` and, when they have too few or too many fields, their text in
 ``__malformed``.
 """
@@ -20,7 +21,10 @@ from tabwarden.operators import tables
 from tabwarden.operators.dictionary import primary_schema
 from tabwarden.operators.row_checks import VIOLATION_COLUMNS, null_tokens_of, quoted, row_violations
 from tabwarden.plans.validate import validate_rows
-from tabwarden.sources.csv_text import read_headers, typed_columns, with_nulls
+from tabwarden.sources.csv_text import header_lookup, read_headers, typed_columns, with_nulls
+
+#: Column with the header of a file that no known column names describe.
+FOREIGN = "__foreign"
 
 
 def arriving_rows(
@@ -55,16 +59,73 @@ def arriving_rows(
     return reader.csv(path).withColumn(PATH, F.col("_metadata.file_path"))
 
 
+def arriving_by_header(
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    width: int | None = None,
+    files_per_batch: int | None = None,
+    glob: str = "*.csv",
+    *,
+    multi_line: bool = False,
+) -> DataFrame:
+    """Stream of text rows of files with any header, the cells under the names of ``columns``.
+
+    Rows are read by position, ``width`` cells each (as many as there are columns if not given). Each task
+    opens a file that it reads once more for its header and looks the names up there, so layouts may come in
+    any order and at any time. A column that a header lacks is null. A file whose header has another width
+    or names outside ``columns`` is told in ``__foreign`` (its header), null for the others.
+    """
+    width = len(columns) if width is None else width
+    cells = [f"__cell{i}" for i in range(width)]
+    rows = arriving_rows(spark, path, cells, files_per_batch, glob, multi_line=multi_line, any_header=True)
+    rows = rows.withColumn("__header", header_lookup()(F.col(PATH)))
+    known = (F.size("__header") == width) & (F.size(F.array_except("__header", F.array(*map(F.lit, columns)))) == 0)
+    known &= F.size(F.array_distinct("__header")) == width
+    values = F.array(*cells)
+
+    def under(name: str):
+        place = F.array_position("__header", name).cast("int")
+        return F.when(known & (place > 0), F.try_element_at(values, place))
+
+    return rows.select(
+        *(under(c).alias(c) for c in columns),
+        F.when(known, quoted(MALFORMED)).alias(MALFORMED),
+        F.when(~known, F.array_join("__header", ",")).alias(FOREIGN),
+        PATH,
+    )
+
+
+def foreign_headers(rows: DataFrame) -> DataFrame:
+    """One ``foreign_header`` violation per file, on a stream of ``arriving_by_header`` as long as it runs."""
+    return (
+        rows.where(F.col(FOREIGN).isNotNull())
+        .select(F.col(PATH).alias("file"), F.col(FOREIGN).alias("value"))
+        .dropDuplicates(["file"])
+        .select(
+            "file",
+            F.lit(None).cast("string").alias("column"),
+            F.lit("foreign_header").alias("rule"),
+            "value",
+            F.lit(None).cast("string").alias("detail"),
+        )
+    )
+
+
 def arriving_violations(
     rows: DataFrame, cdes: Sequence[Cde], profile: Profile = Profile.FILE, row_keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Row rules on a stream; they keep no state."""
+    """Row rules on a stream; they keep no state. Rows of files with a foreign header are left out."""
+    if FOREIGN in rows.columns:
+        rows = rows.where(F.col(FOREIGN).isNull()).drop(FOREIGN)
     found = row_violations(rows, cdes, [PATH, *row_keys], profile)
     return found.select(F.col(PATH).alias("file"), *[quoted(k) for k in row_keys], *VIOLATION_COLUMNS)
 
 
 def running_datasets(rows: DataFrame, profile: Profile = Profile.FILE) -> DataFrame:
     """Each dataset code once, when it is first seen. The state is the set of codes."""
+    if FOREIGN in rows.columns:
+        rows = rows.where(F.col(FOREIGN).isNull())
     codes = rows.select(nullify(F.col(DATASET_COLUMN), null_tokens_of(profile)).alias(DATASET_COLUMN))
     return codes.dropDuplicates([DATASET_COLUMN])
 

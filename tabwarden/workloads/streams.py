@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 from tabwarden.model import Cde
 from tabwarden.session import scratch
-from tabwarden.streaming.arrivals import arriving_rows, arriving_violations, running_datasets, validate_then_commit
+from tabwarden.streaming.arrivals import (
+    arriving_by_header,
+    arriving_rows,
+    arriving_violations,
+    foreign_headers,
+    running_datasets,
+    validate_then_commit,
+)
 from tabwarden.workloads.base import Registry, derive
 
 QUERIES = Registry()
@@ -77,19 +84,32 @@ FROM events WHERE event_id % 5 IN (1, 2) GROUP BY ALL
 
 @QUERIES.add("stream_violations", _BROKEN_SQL)
 def stream_violations(spark, sf_dir):
-    """Row rules on arriving files, those with another header apart."""
-    rows = arriving_rows(spark, f"{_tree(spark, sf_dir)}/g[0124]", COLUMNS)
+    """Row rules on arriving files of both headers, in one query."""
+    rows = arriving_by_header(spark, f"{_tree(spark, sf_dir)}/g*", COLUMNS)
     found = _to_table(arriving_violations(rows, CDES))
     return found.groupBy(_grp(), "column", "rule").agg(F.count("*").alias("n"))
 
 
-@QUERIES.add("stream_datasets", "SELECT DISTINCT 'ds' || user_id % 7 AS dataset FROM events WHERE event_id % 5 <> 3 AND event_id % 10 <> 7")
+@QUERIES.add("stream_datasets", "SELECT DISTINCT 'ds' || user_id % 7 AS dataset FROM events WHERE event_id % 10 <> 7")
 def stream_datasets(spark, sf_dir):
-    """Each dataset code once, over all files of the layout."""
-    rows = arriving_rows(spark, f"{_tree(spark, sf_dir)}/g[0124]", COLUMNS)
+    """Each dataset code once, over all files of both headers; a row with one field has no code."""
+    rows = arriving_by_header(spark, f"{_tree(spark, sf_dir)}/g*", COLUMNS)
     return _to_table(running_datasets(rows)).where("dataset IS NOT NULL")
 
 
+@QUERIES.add(
+    "stream_foreign_headers",
+    """SELECT CAST(event_id % 5 AS VARCHAR) AS grp, 'foreign_header' AS rule,
+              CASE event_id % 5 WHEN 3 THEN 'dataset,event_id,value' ELSE 'event_id,dataset,value' END AS header
+       FROM events GROUP BY ALL""",
+)
+def stream_foreign_headers(spark, sf_dir):
+    """All files of headers with a column that the model lacks, once per file, told per folder."""
+    rows = arriving_by_header(spark, f"{_tree(spark, sf_dir)}/g*", ["event_id", "dataset", "other"])
+    found = _to_table(foreign_headers(rows))
+    return found.select(_grp(), "rule", F.col("value").alias("header")).distinct()
+
+
 @QUERIES.add(
     "stream_commit",
     f"""SELECT CAST(event_id % 5 AS VARCHAR) AS grp, 'committed' AS outcome, count(*) AS n,
