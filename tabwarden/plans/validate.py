@@ -30,7 +30,7 @@ from tabwarden.operators.row_checks import (
     row_violations,
 )
 from tabwarden.session import persisted_copy
-from tabwarden.sources import csv_text
+from tabwarden.sources import csv_text, tree
 from tabwarden.sources.dictionaries import (
     flatten_dictionaries,
     parse_dictionaries,
@@ -251,11 +251,12 @@ def _layouts(spark: SparkSession, readable: DataFrame, quoted_newlines: str) ->
     """
     rows = readable.select("file", "model_key", "columns").orderBy("file").collect()
     paths = {row["file"] for row in rows}
+    tree.copy_hidden(spark, sorted(paths))
     whole: set[str] = set()
     if quoted_newlines == "always":
         whole = paths
     elif quoted_newlines == "detect" and paths:
-        whole = {r["file"] for r in csv_text.quoted_newline_files(spark, [csv_text.reader_path(p) for p in sorted(paths)]).collect()}
+        whole = {r["file"] for r in csv_text.quoted_newline_files(spark, [csv_text.reader_path(spark, p) for p in sorted(paths)]).collect()}
     grouped: dict[tuple, list[str]] = {}
     for row in rows:
         key = (row["model_key"], tuple(row["columns"]), row["file"] in whole)
@@ -265,7 +266,7 @@ def _layouts(spark: SparkSession, readable: DataFrame, quoted_newlines: str) ->
 
 def scan_layout(spark: SparkSession, layout: Layout, flag_malformed: bool = False) -> DataFrame:
     return csv_text.scan_text(
-        spark, [csv_text.reader_path(p) for p in layout.paths], layout.columns, multi_line=layout.multi_line, flag_malformed=flag_malformed, path_column=PATH
+        spark, [csv_text.reader_path(spark, p) for p in layout.paths], layout.columns, multi_line=layout.multi_line, flag_malformed=flag_malformed, path_column=PATH
     )
 
 
@@ -303,7 +304,7 @@ def _all_layouts(
     shapes: dict[tuple[int, bool], list[str]] = {}
     for layout in layouts:
         paths = shapes.setdefault((len(layout.columns), layout.multi_line), [])
-        paths += [csv_text.reader_path(p) for p in layout.paths]
+        paths += [csv_text.reader_path(spark, p) for p in layout.paths]
     scans = [
         csv_text.scan_positions(spark, paths, width, multi_line=whole) for (width, whole), paths in shapes.items()
     ]

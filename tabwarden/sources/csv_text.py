@@ -16,29 +16,33 @@ from pyspark.sql import types as T
 from tabwarden.functions.text import nullify, typed
 from tabwarden.model import MALFORMED, Cde
 from tabwarden.operators.row_checks import quoted
+from tabwarden.sources import tree
 
 FILE = "file"
 
 
 def list_files(spark: SparkSession, root: str, file_glob: str = "*.csv") -> DataFrame:
-    """Files below ``root`` as ``(file, folder, bytes)``; no content is read."""
-    return (
+    """Files below ``root`` as ``(file, folder, bytes)``, whatever their names; no content is read."""
+    hidden_folders, hidden_files, is_file = tree.hidden_entries(spark, root, file_glob)
+    path = F.col("_metadata.file_path")
+    hidden = spark.createDataFrame(hidden_files, "file string, bytes bigint")
+    hidden = hidden.select(FILE, folder_of(F.col(FILE)).alias("folder"), "bytes")
+    if is_file:
+        return hidden  # the reader would refuse it
+    listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", file_glob)
-        .load(root)
-        .select(
-            F.col("_metadata.file_path").alias(FILE),
-            folder_of(F.col("_metadata.file_path")).alias("folder"),
-            F.col("length").alias("bytes"),
-        )
+        .load([root, *hidden_folders])
+        .select(path.alias(FILE), folder_of(path).alias("folder"), F.col("length").alias("bytes"))
     )
+    return listed.unionByName(hidden) if hidden_files else listed
 
 
-def reader_path(file: str) -> str:
-    """A listed file as a path for the readers: the listing encodes names as in URLs, the
-    readers take them plain and expand patterns."""
-    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(file))
+def reader_path(spark: SparkSession, file: str) -> str:
+    """What the readers take for a listed file. The listing encodes names as in URLs, the readers take
+    them plain and expand patterns; of a hidden file they take the copy."""
+    return tree.copy_of(spark, file) or re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(file))
 
 
 def folder_of(path):
@@ -72,10 +76,11 @@ def quoted_newline_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame
     scan sees. Only these files need the reader that takes a file as a whole.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    path = tree.told_path(spark, F.col("_metadata.file_path"), paths)
     return (
         spark.read.text(list(paths))
         .where(quotes % 2 == 1)
-        .select(F.col("_metadata.file_path").alias(FILE))
+        .select(path.alias(FILE))
         .distinct()
     )
 
@@ -105,7 +110,8 @@ def scan_text(
         # A pruned parse does not count the fields of a row.
         reader = reader.option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False)
     source = [paths] if isinstance(paths, str) else list(paths)
-    return reader.schema(T.StructType(fields)).csv(source).withColumn(path_column, F.col("_metadata.file_path"))
+    path = tree.told_path(spark, F.col("_metadata.file_path"), source)
+    return reader.schema(T.StructType(fields)).csv(source).withColumn(path_column, path)
 
 
 def scan_positions(spark: SparkSession, paths: Sequence[str], width: int, *, multi_line: bool = False) -> DataFrame:
@@ -124,7 +130,7 @@ def scan_positions(spark: SparkSession, paths: Sequence[str], width: int, *, mul
         .option("columnPruning", False)
         .schema(schema)
         .csv(list(paths))
-        .select(F.col("_metadata.file_path").alias(FILE), F.array(*names).alias("cells"))
+        .select(tree.told_path(spark, F.col("_metadata.file_path"), paths).alias(FILE), F.array(*names).alias("cells"))
     )
 
 

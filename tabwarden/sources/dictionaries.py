@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwarden.model import CDE_SCHEMA, DICTIONARY_FILE, REQUIRED_KEYS
+from tabwarden.sources import tree
 
-MAX_GROUP_DEPTH = 1000
+# Groups in groups. The parser takes no text with deeper nesting than this allows, so a deeper dictionary is
+# a violation of its own (``invalid_json``) and the others of a batch go on.
+MAX_GROUP_DEPTH = 500
 
 # Keys of a variable that go by two names.
 RENAMED_KEYS = {"isCategorical": "is_categorical", "minValue": "min", "maxValue": "max"}
@@ -16,12 +19,14 @@ _ENUMERATION_TYPE = "array<struct<code:string,label:string>>"
 
 
 def read_dictionaries(spark: SparkSession, root: str, file_glob: str = DICTIONARY_FILE) -> DataFrame:
-    """One row ``(model_key, body)`` per dictionary file anywhere below ``root``."""
+    """One row ``(model_key, body)`` per dictionary file anywhere below ``root``, also in folders whose
+    names begin with ``_`` or ``.``."""
+    hidden, _, _ = tree.hidden_entries(spark, root, file_glob)
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", file_glob)
         .option("wholetext", True)
-        .text(root)
+        .text([root, *hidden])
         .select(F.col("_metadata.file_path").alias("model_key"), F.col("value").alias("body"))
     )
 

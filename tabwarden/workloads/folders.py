@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwarden.model import PATH
 from tabwarden.operators import headers
 from tabwarden.plans.validate import check_folder, structure
 from tabwarden.plans.warehouse import Warehouse
@@ -273,6 +274,68 @@ def load_folder(spark, sf_dir):
     return loaded.join(named, ["code", "dataset"])
 
 
+def _rename(spark: SparkSession, folder: str, plain: str, name: str) -> None:
+    """Give an entry of the written tree another name."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(folder)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in store.globStatus(hadoop.Path(f"{folder}/{plain}")):
+        path = entry.getPath()
+        store.rename(path, hadoop.Path(path.getParent(), name.replace("*", path.getName())))
+
+
+def _awkward_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Valid rows in folders and files whose names begin with ``_`` and ``.`` or hold blanks, percent signs and brackets."""
+    root = scratch(spark, "awkward")
+    rows = derive(spark, sf_dir, _VALID)
+    csv_text.write_csv(rows, root, "append", ["grp"])
+    _write_dictionaries(spark, sf_dir, root, rows.select("grp").distinct())
+    for grp, name in ((1, "_*"), (2, ".*"), (3, "a %41 *")):
+        _rename(spark, f"{root}/grp={grp}", "*.csv", name)
+    _rename(spark, root, "grp=4", "_hidden *")
+    _rename(spark, root, "grp=5", ".hidden *")
+    return root
+
+
+@QUERIES.add(
+    "scan_awkward_names",
+    f"""SELECT grp, count(*) AS n, CAST(sum(CAST(event_id AS BIGINT)) AS BIGINT) AS ids, true AS is_valid,
+               CASE grp WHEN '1' THEN '_' WHEN '2' THEN '.' WHEN '3' THEN 'a' ELSE 'p' END AS begins
+        FROM ({oracle(_VALID)}) GROUP BY grp""",
+)
+def scan_awkward_names(spark, sf_dir):
+    """Every file of a tree is listed, judged and read, whatever it and its folder are called."""
+    checked = check_folder(spark, _awkward_tree(spark, sf_dir), dictionary_glob=_DICTIONARIES, stage=True)
+    rows = None
+    for frame in checked.staged.values():
+        own = frame.select(F.col(PATH).alias("file"), "event_id")
+        rows = own if rows is None else rows.unionByName(own)
+    judged = checked.verdicts().where("kind = 'file'").select(F.col("path").alias("file"), "is_valid")
+    told = rows.join(judged, "file").withColumn("begins", F.regexp_extract("file", "/([^/])[^/]*$", 1))
+    counted = told.groupBy(_group_of(F.col("file")).alias("grp"), "begins").agg(
+        F.count("*").alias("n"), F.sum(F.col("event_id").cast("bigint")).alias("ids"), F.min("is_valid").alias("is_valid")
+    )
+    return counted
+
+
+@QUERIES.add(
+    "load_awkward_names",
+    f"""SELECT 'g' || grp AS code, dataset, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids
+        FROM ({oracle(_VALID)}) GROUP BY grp, dataset""",
+)
+def load_awkward_names(spark, sf_dir):
+    """The same tree loaded into a warehouse; counts from the loaded tables."""
+    house = Warehouse(spark, scratch(spark, "warehouse"))
+    house.initialise()
+    house.load_folder(_awkward_tree(spark, sf_dir), dictionary_glob=_DICTIONARIES)
+    loaded = None
+    for model in (f"g{i}" for i in range(9)):
+        part = house.primary(model, "1.0").groupBy("dataset").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+        part = part.select(F.lit(model).alias("code"), "*")
+        loaded = part if loaded is None else loaded.unionByName(part)
+    return loaded
+
+
 @QUERIES.add(
     "register_models",
     """SELECT 'g' || s_suppkey AS code, '1.0' AS version, 'Events' AS label, 'ENABLED' AS status,

@@ -1,8 +1,12 @@
+from urllib.parse import unquote
+
 import pytest
 from samples import csv, study, text, visits
 
 from tabwarden.model import DICTIONARY_FILE, Profile
 from tabwarden.plans.validate import check_folder
+from tabwarden.plans.warehouse import Warehouse
+from tabwarden.session import scratch
 
 STUDY = text(study(["ok", "more"]))
 FILES = {
@@ -91,3 +95,55 @@ def test_awkward_names_are_read(spark, trees):
     root = trees({f"{folder}/{DICTIONARY_FILE}": STUDY, f"{folder}/süß #1.csv": csv("dataset,var3", "ok,5", "ok,bad")})
     found = check_folder(spark, root).violations.collect()
     assert [(r["column"], r["value"]) for r in found] == [("var3", "bad")]
+
+
+def test_hidden_names_are_read(spark, trees):
+    deep = {"groups": []}
+    for _ in range(600):
+        deep = {"groups": [deep]}
+    files = {
+        f"ok/{DICTIONARY_FILE}": STUDY,
+        "ok/x.csv": csv("dataset,var3", "ok,5"),
+        "ok/_y.csv": csv("dataset,var3", "ok,bad", '"ok",7'),
+        "ok/.z 1.csv": csv("dataset,var3", "ok,500"),
+        "ok/_note.txt": "no data",
+        f"_hidden/.deep er/{DICTIONARY_FILE}": text(study(["ok"], code="other")),
+        "_hidden/.deep er/x.csv": csv("dataset,var3", "ok,6", '"more\n",9'),
+        "_hidden/.deep er/_z.csv": csv("dataset,var1", 'ok,"two\nlines"', "ok"),
+        f"deep/{DICTIONARY_FILE}": text(deep),
+    }
+    root = trees(files)
+    for layouts in (32, 0):
+        checked = check_folder(spark, root, compiled_layouts=layouts)
+        found = {(unquote(r["file"]).split(root, 1)[1], r["column"], r["rule"]) for r in checked.violations.collect()}
+        assert found == {
+            ("/ok/_y.csv", "var3", "type"),
+            ("/ok/.z 1.csv", "var3", "above_max"),
+            ("/_hidden/.deep er/x.csv", "dataset", "not_in_enumeration"),
+            ("/_hidden/.deep er/x.csv", "dataset", "unknown_dataset"),
+            ("/_hidden/.deep er/_z.csv", None, "malformed_row"),
+        }
+        verdicts = [(r["kind"], r["first_rule"]) for r in checked.verdicts().collect()]
+        assert len(verdicts) == 8 and ("dictionary", "invalid_json") in verdicts, verdicts
+    assert check_folder(spark, f"{root}/_hidden/.deep er").violations.count() == 3
+
+
+def test_hidden_names_are_loaded(spark, trees):
+    root = trees(
+        {
+            f"ok/{DICTIONARY_FILE}": STUDY,
+            "ok/x.csv": csv("dataset,var3", "ok,5"),
+            "ok/_y.csv": csv("dataset,var3", "more,6", "more,7"),
+            f"_hidden/{DICTIONARY_FILE}": text(study(["ok"], code="other")),
+            "_hidden/x.csv": csv("dataset,var3", "ok,6"),
+        }
+    )
+    house = Warehouse(spark, scratch(spark, "warehouse"))
+    house.initialise()
+    house.load_folder(root)
+    assert sorted(r["var3"] for r in house.primary("study", "1.0").collect()) == [5, 6, 7]
+    assert house.primary("other", "1.0").count() == 1
+    sources = {r["code"]: r["csv_path"] for r in house.table("datasets").collect()}
+    assert sources["more"].endswith("/ok/_y.csv")
+    house.add_datasets(f"{root}/ok/_y.csv", "study", "1.0")
+    assert house.primary("study", "1.0").count() == 5
