@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabwarden.functions.text import NA_TOKENS, nullify, to_int, to_real
 from tabwarden.model import Cde, Profile
+from tabwarden.operators.long_lists import long_enumeration_violations
 from tabwarden.operators import keys, membership, reports, row_checks, tables
 from tabwarden.plans.validate import validate_rows
 from tabwarden.sources.csv_text import scan_text, typed_columns, with_nulls, write_csv
@@ -150,6 +151,34 @@ def check_enumerations(spark, sf_dir):
     return _one_kind(spark, sf_dir, row_checks.enumeration_rule)
 
 
+@QUERIES.add(
+    "check_enumerations_long",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, 'l_partkey' AS "column",
+              'not_in_enumeration' AS rule, CAST(l_partkey AS VARCHAR) AS value
+       FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 1)
+       UNION ALL
+       SELECT CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), 'l_suppkey', 'not_in_enumeration', CAST(l_suppkey AS VARCHAR)
+       FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""",
+)
+def check_enumerations_long(spark, sf_dir):
+    """Codes that are rows of other tables: parts of more than the least size, suppliers in credit."""
+    cells = derive(
+        spark,
+        sf_dir,
+        """SELECT CAST(l_orderkey AS string) AS l_orderkey, CAST(l_linenumber AS string) AS l_linenumber,
+                  CAST(l_partkey AS string) AS l_partkey, CAST(l_suppkey AS string) AS l_suppkey FROM {lineitem}""",
+    )
+    codes = derive(
+        spark,
+        sf_dir,
+        """SELECT 'l_partkey' AS column, CAST(p_partkey AS string) AS code FROM {part} WHERE p_size > 1
+           UNION ALL SELECT 'l_suppkey', CAST(s_suppkey AS string) FROM {supplier} WHERE s_acctbal > 0""",
+    )
+    keys = ["l_orderkey", "l_linenumber"]
+    found = long_enumeration_violations(cells, codes, keys, {"l_partkey": "int", "l_suppkey": "int"})
+    return found.drop("detail")
+
+
 @QUERIES.add(
     "check_range",
     _with()

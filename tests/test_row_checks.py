@@ -1,6 +1,8 @@
 import pytest
 
+from tabwarden.functions.text import NA_TOKENS
 from tabwarden.model import Cde, Profile
+from tabwarden.operators.long_lists import long_enumeration_violations
 from tabwarden.operators.row_checks import row_violations, wide_row_violations
 from tabwarden.plans.validate import validate_rows
 
@@ -90,3 +92,18 @@ def test_row_rules_need_no_shuffle_and_prune_columns(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "unused" not in plan
+
+
+def test_long_code_lists_say_the_same(spark):
+    cdes = [Cde("a", "text", True, codes=("x", "y ")), Cde("b", "int", True, codes=("1", "02", "q")), Cde("c", "real", True, codes=("0", "1.50"))]
+    cells = [(i, a, b, c) for i, (a, b, c) in enumerate([("x", "01", "-0.0"), ("y", "2", "1.5"), (None, "3", "zero"), ("NA", "", "15e-1"), ("z", "x", "7")])]
+    cells += [(i, "z", "5", "0") for i in range(10, 60)]
+    rows = spark.createDataFrame(cells, "id int, a string, b string, c string")
+    codes = spark.createDataFrame([(d.code, v) for d in cdes for v in d.codes] + [("a", "x"), ("a", None)], "column string, code string")
+    want = row_violations(rows, cdes, ["id"]).where("rule = 'not_in_enumeration'")
+    types = {d.code: d.sql_type for d in cdes}
+    for hot_rows in (10, 100_000):
+        got = long_enumeration_violations(rows, codes, ["id"], types, NA_TOKENS, hot_rows)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
+    assert long_enumeration_violations(rows.where("false"), codes, ["id"], types).count() == 0
+    assert long_enumeration_violations(rows, codes.where("false"), ["id"], {"a": "text"}).count() == 54
