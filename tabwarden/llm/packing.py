@@ -2,9 +2,12 @@
 
 Documents longer than the largest capacity are cut into pieces of that size; the rest of each
 is one more piece. Pieces are placed longest first into the open bin that they fill best. When
-none fits, a bin of the least-cost capacity is opened: the candidates are tried on the lengths
-at hand, all capacities jointly, and the opening rule with the least total cost wins. At the
-end each bin is cut down to the smallest permitted capacity that holds its contents.
+none fits, a bin is opened with the capacity of the least expected cost per token: for each permitted
+capacity the room beside the piece is filled from the histogram of the lengths still to come, largest
+first, and what that bin would cost once cut down is divided by what it would hold. At the end each bin
+is cut down to the smallest permitted capacity that holds its contents. Opening all bins alike, with one
+capacity, is tried as well, and the cheapest packing of a group stays, so a group never costs more than
+with the best single capacity.
 
 Only ids and lengths are packed. Each task packs its own rows in groups of bounded size, so
 nothing is shuffled and the waste is at most a few open bins per group.
@@ -13,7 +16,8 @@ nothing is shuffled and the waste is at most a few open bins per group.
 from __future__ import annotations
 
 import bisect
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,16 +43,42 @@ class Capacities:
         return self.lengths[bisect.bisect_left(self.lengths, tokens)]
 
 
-def best_fit(sizes: list[int], rule: Capacities, open_as: int) -> tuple[list[int], list[int]]:
+def least_cost_opening(size: int, kinds: list[int], counts: Mapping[int, int], rule: Capacities) -> int:
+    """Capacity to open for a piece of this size, when ``counts`` pieces of each of the ascending sizes
+    ``kinds`` are still to come. Of equal costs per token the smallest capacity."""
+    best = None
+    for capacity in rule.lengths:
+        if capacity < size:
+            continue
+        room = capacity - size
+        at = bisect.bisect_right(kinds, room)
+        while at:
+            kind = kinds[at - 1]
+            room -= kind * min(counts[kind], room // kind)
+            at = bisect.bisect_right(kinds, room, 0, at - 1)
+        held = capacity - room
+        cost = rule.cost(rule.smallest(held))
+        if best is None or cost * best[1] < best[0] * held:
+            best = cost, held, capacity
+    return best[2]
+
+
+def best_fit(sizes: list[int], rule: Capacities, open_as: int | None = None) -> tuple[list[int], list[int]]:
     """Bin of each piece and the contents of each bin, for pieces longest first.
 
-    ``open_as`` is the capacity with which bins are opened; a longer piece opens the smallest
-    capacity that holds it. Open bins are kept by what is left in them, the latest first.
+    Each bin is opened with the capacity of the least expected cost; with ``open_as`` all are opened with
+    that one, and a longer piece opens the smallest that holds it. Open bins are kept by what is left in
+    them, the latest first.
     """
     placed, contents, capacity = [], [], []
     left: list[int] = []
     by_left: dict[int, list[int]] = defaultdict(list)
+    counts = Counter(sizes)
+    kinds = sorted(counts)
     for size in sizes:
+        counts[size] -= 1
+        if not counts[size]:
+            kinds.pop()
         at = bisect.bisect_left(left, size)
         if at < len(left):
             room = left[at]
@@ -58,7 +88,10 @@ def best_fit(sizes: list[int], rule: Capacities, open_as: int) -> tuple[list[int
         else:
             bin_ = len(contents)
             contents.append(0)
-            capacity.append(max(open_as, rule.smallest(size)))
+            if open_as is None:
+                capacity.append(least_cost_opening(size, kinds, counts, rule))
+            else:
+                capacity.append(max(open_as, rule.smallest(size)))
         contents[bin_] += size
         placed.append(bin_)
         room = capacity[bin_] - contents[bin_]
@@ -70,14 +103,15 @@ def best_fit(sizes: list[int], rule: Capacities, open_as: int) -> tuple[list[int
 
 
 def pack_group(sizes: list[int], rule: Capacities) -> tuple[list[int], list[int]]:
-    """The cheapest packing over the opening capacities, bins already cut down to ``lengths``.
+    """The cheapest of the packing with a capacity per opening and those with one capacity for all, bins
+    already cut down to ``lengths``.
 
     Returns the bin of each piece (pieces in any order) and the final capacity of each bin.
     """
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     longest_first = [sizes[i] for i in order]
     best = None
-    for open_as in rule.lengths:
+    for open_as in (None, *rule.lengths):
         placed, contents = best_fit(longest_first, rule, open_as)
         final = [rule.smallest(c) for c in contents]
         cost = sum(map(rule.cost, final))
@@ -143,7 +177,8 @@ def pack_documents(documents: DataFrame, length: Column | None = None, rule: Cap
     """One row per piece: document, piece number, first token and length, its bin with the bin's
     final capacity and contents, and the offset in the bin.
 
-    ``length`` is the number of tokens of a row (words of ``text`` if not given). Rows without
+    ``length`` is the number of tokens of a row, such as ``n_tokens`` of ``token_counts.count_tokens``; if it is
+    not given, words of ``text`` are counted as tokens, which model tokens exceed. Rows without
     tokens, null texts among them, take no place and have no row. Repeated rows are packed each.
     Bin ids begin with a number of the row that opened their group, so they are unique; lengths
     are written first, so a task that runs again packs the same rows under the same numbers.

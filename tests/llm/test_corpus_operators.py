@@ -4,14 +4,14 @@ import base64
 import hashlib
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabwarden.llm import bwt_merge, jaccard_join, packing, repeats, toxicity, warc_archive
+from tabwarden.llm import bwt_merge, jaccard_join, packing, repeats, token_counts, toxicity, warc_archive
 from tabwarden.llm.components import component_roots
 from tests_support import SF_DIR, soup, words  # noqa: I001
 
@@ -132,6 +132,73 @@ def test_best_fit_is_the_plain_one():
         assert sorted(mine) == sorted(contents)
 
 
+def partitions(sizes):
+    """All ways to lay pieces into bins, as sums of the bins."""
+    if not sizes:
+        yield []
+        return
+    for rest in partitions(sizes[1:]):
+        yield [sizes[0], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], rest[i] + sizes[0], *rest[i + 1 :]]
+
+
+def test_packing_against_every_packing():
+    rng = random.Random(7)
+    rule = packing.Capacities((8, 12, 20), overhead=3)
+    optimal = 0
+    for _ in range(60):
+        sizes = [rng.randrange(1, 21) for _ in range(rng.randrange(1, 8))]
+        least = min(
+            sum(rule.cost(rule.smallest(s)) for s in sums) for sums in partitions(sizes) if max(sums) <= rule.lengths[-1]
+        )
+        bins, final = packing.pack_group(sizes, rule)
+        used = [sum(s for s, b in zip(sizes, bins, strict=True) if b == i) for i in range(len(final))]
+        assert final == [rule.smallest(u) for u in used]
+        mine = sum(map(rule.cost, final))
+        assert least <= mine
+        optimal += mine == least
+    assert optimal >= 45
+
+
+def test_packing_is_never_dearer_than_bins_opened_alike():
+    rng = random.Random(1)
+    cheaper = 0
+    for _ in range(300):
+        rule = packing.Capacities((8, 12, 20), overhead=rng.choice([0, 1, 3]))
+        sizes = sorted((rng.randrange(1, 21) for _ in range(rng.randrange(5, 40))), reverse=True)
+        alike = [sum(rule.cost(rule.smallest(c)) for c in packing.best_fit(sizes, rule, one)[1]) for one in rule.lengths]
+        mine = sum(map(rule.cost, packing.pack_group(sizes, rule)[1]))
+        assert mine <= min(alike)
+        cheaper += mine < min(alike)
+    assert cheaper
+
+
+def test_a_bin_opens_with_the_least_cost_per_token():
+    rng = random.Random(8)
+    rule = packing.Capacities((8, 12, 20), overhead=3)
+    for _ in range(200):
+        coming = sorted((rng.randrange(1, 21) for _ in range(rng.randrange(0, 8))), reverse=True)
+        size = rng.randrange(max(coming, default=1), 21)
+        costs = []
+        for capacity in rule.lengths:
+            held = size
+            for other in coming:
+                held += other if held + other <= capacity else 0
+            if size <= capacity:
+                costs.append((rule.cost(rule.smallest(held)) / held, capacity))
+        kinds = Counter(coming)
+        assert packing.least_cost_opening(size, sorted(kinds), kinds, rule) == min(costs)[1]
+
+
+def test_packing_takes_token_counts_and_an_empty_table(spark, odd_documents):
+    counted = token_counts.count_tokens(odd_documents, token_counts.tokenizer_path("word_bpe_49k.json"))
+    packed = packing.pack_documents(counted, F.col("n_tokens")).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"))
+    want = counted.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).where("n > 0")
+    assert {tuple(r) for r in packed.collect()} == {tuple(r) for r in want.collect()}
+    assert packing.pack_documents(odd_documents.limit(0)).isEmpty()
+
+
 def brute_components(rows, width=5):
     sets = []
     for _, text in rows:
