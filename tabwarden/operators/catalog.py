@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwarden.functions.text import model_name, split_tag
@@ -218,17 +218,129 @@ def parse_tag_requests(requests: DataFrame, expression: str = "expression") -> D
     )
 
 
-def numbered_runs(parsed: DataFrame) -> DataFrame:
-    """Add ``run`` to parsed requests: how often the requests for one tag or key of one entity
-    turned from adding to removing or back before, by ``seq``. Of equal ``seq`` removals come first.
+_CHANGED = (
+    "operation string, entity_id bigint, tag boolean, name string, value string, place bigint, run bigint, "
+    "effect boolean, fresh boolean"
+)
 
-    Requests of one run of a name are of one kind, so runs can be applied one after the other,
-    each for all entities at once.
+
+def ordered_changes(tags: DataFrame, properties: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Take parsed requests through the catalog in their order, all of them in one pass.
+
+    The rows of the catalog and the requests of one tag or key of one entity meet in one task, sorted by
+    ``seq`` behind what the catalog holds; of equal ``seq`` removals come first, then unforced additions,
+    then smaller values. The pass carries one name's state at a time, so a name with any number of
+    requests takes no memory, and sorting spills.
+
+    Returns a row per request with ``effect`` (it changed something), ``fresh`` (there was nothing before)
+    and ``run`` (how often the name's requests turned from adding to removing or back before), and a
+    row without ``operation`` per tag and property that is there at the end. New tags take their place
+    after those of the catalog.
     """
-    order = Window.partitionBy("entity_id", F.col("tag").isNull(), F.coalesce("tag", "key")).orderBy("seq", F.desc("remove"))
-    turned = F.coalesce(F.col("remove") != F.lag("remove").over(order), F.lit(False)).cast("int")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return parsed.withColumn("__turned", turned).withColumn("run", F.sum("__turned").over(upto)).drop("__turned")
+    last = tags.agg(F.max("seq")).first()[0] or 0
+    nothing = F.lit(None)
+    shape = lambda frame, tag, name, value, place: frame.select(
+        "entity_id",
+        F.lit(tag).alias("tag"),
+        F.col(name).alias("name"),
+        value.cast("string").alias("value"),
+        place.cast("bigint").alias("place"),
+        nothing.cast("string").alias("operation"),
+        nothing.cast("boolean").alias("force"),
+    )
+    asked = parsed.select(
+        "entity_id",
+        F.col("tag").isNotNull().alias("tag"),
+        F.coalesce("tag", "key").alias("name"),
+        "value",
+        (F.col("seq") + F.when(F.col("tag").isNotNull(), last).otherwise(0)).alias("place"),
+        "operation",
+        "force",
+    )
+    known = shape(tags, True, "tag", nothing, F.col("seq")).unionByName(
+        shape(properties, False, "key", F.col("value"), nothing)
+    )
+    keys = ["tag", "entity_id", "name"]
+    order = [F.col("operation").isNotNull(), "place", F.col("operation").startswith("add"), "force", "value"]
+    together = known.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return together.select("operation", "entity_id", "tag", "name", "value", "place", "force").mapInArrow(
+        _in_turn(), _CHANGED
+    )
+
+
+def _in_turn():
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema(
+            [("operation", pa.string()), ("entity_id", pa.int64()), ("tag", pa.bool_()), ("name", pa.string())]
+            + [("value", pa.string()), ("place", pa.int64()), ("run", pa.int64())]
+            + [("effect", pa.bool_()), ("fresh", pa.bool_())]
+        )
+        name = held = None  # the name at hand and its (value, place), None for nothing
+        turns, adding = 0, None
+
+        def end():
+            if held is not None:
+                entity, tag, called = name
+                yield None, entity, tag, called, *held, None, None, None
+
+        for batch in batches:
+            rows = []
+            for operation, entity, tag, called, value, place, force in zip(
+                *(column.to_pylist() for column in batch.columns), strict=True
+            ):
+                if (entity, tag, called) != name:
+                    rows += end()
+                    name, held, turns, adding = (entity, tag, called), None, 0, None
+                if operation is None:
+                    held = held or (value, place)
+                    continue
+                adds = operation.startswith("add")
+                turns += adding is not None and adds != adding
+                adding, fresh = adds, held is None
+                if adds:
+                    effect = fresh or (not tag and bool(force))
+                    held = (value, place) if effect else held
+                else:
+                    effect = not fresh and (tag or held[0] == value)
+                    held = None if effect else held
+                rows.append((operation, entity, tag, called, value, place, turns, effect, fresh))
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+                )
+        rows = list(end())
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v], f.type) for v, f in zip(rows[0], schema, strict=True)], schema=schema
+            )
+
+    return run
+
+
+def change_outcomes(changed: DataFrame) -> DataFrame:
+    """What the requests of ``ordered_changes`` did, one row per entity, name and run (and per value for
+    removals of properties): added, overwritten, exists, removed or missing."""
+    of_value = F.when(F.col("operation") == "remove_property", F.col("value"))
+    asked = changed.where("operation IS NOT NULL").groupBy("operation", "entity_id", "name", "run", of_value.alias("__value"))
+    adds = F.col("operation").startswith("add")
+    return asked.agg(
+        F.count(_ONE).alias("requests"), F.count_if("effect").alias("__effects"), F.bool_or(F.expr("effect AND fresh")).alias("__new")
+    ).select(
+        "operation",
+        "entity_id",
+        "name",
+        F.when(adds & F.col("__new"), "added")
+        .when(adds & (F.col("__effects") > 0), "overwritten")
+        .when(adds, "exists")
+        .when(F.col("__effects") > 0, "removed")
+        .otherwise("missing")
+        .alias("outcome"),
+        "requests",
+        (F.col("requests") - F.col("__effects")).alias("rejected"),
+    )
 
 
 def annotations(entities: DataFrame, tags: DataFrame, properties: DataFrame, id_column: str) -> DataFrame:

@@ -518,43 +518,22 @@ class Warehouse:
     def change_tags(self, kind: str, requests: DataFrame) -> DataFrame:
         """Apply ``(entity_id, expression, remove, force, seq)`` to models or datasets.
 
-        ``kind`` is "model" or "dataset". Requests for one tag or key take effect by ``seq``: a
-        batch goes through in as many turns as the name with the most changes between adding and
-        removing needs, mostly one. Returns one outcome row per entity, tag or key, and turn.
+        ``kind`` is "model" or "dataset". Requests for one tag or key take effect by ``seq``, all in one pass
+        over the catalog. Returns one outcome row per entity, tag or key, and turn from adding to removing
+        or back.
         """
-        parsed = persisted_copy(catalog.numbered_runs(catalog.parse_tag_requests(requests)), "tag-requests")
-        tags, properties = self.table(f"{kind}_tags"), self.table(f"{kind}_properties")
-        # New tags come after those of earlier batches.
-        last = tags.agg(F.max("seq")).first()[0] or 0
-        turns = (parsed.agg(F.max("run")).first()[0] or 0) + 1
-        reports = []
-        for turn in range(turns):
-            by = {
-                name: parsed.where((F.col("run") == turn) & (F.col("operation") == name))
-                for name in ("remove_tag", "add_tag", "remove_property", "add_property")
+        base = self.tables([f"{kind}_tags", f"{kind}_properties"])
+        tags, properties = base[f"{kind}_tags"], base[f"{kind}_properties"]
+        parsed = catalog.parse_tag_requests(requests)
+        changed = persisted_copy(catalog.ordered_changes(tags, properties, parsed), "tag-changes")
+        left = changed.where("operation IS NULL")
+        self.commit(
+            {
+                f"{kind}_tags": left.where("tag").select("entity_id", F.col("name").alias("tag"), F.col("place").alias("seq")),
+                f"{kind}_properties": left.where("NOT tag").select("entity_id", F.col("name").alias("key"), "value"),
             }
-            additions = by["add_tag"].withColumn("seq", F.col("seq") + last)
-            outcomes = [
-                ("remove_tag", "tag", catalog.tag_removals(tags, by["remove_tag"])),
-                ("add_tag", "tag", catalog.tag_additions(tags, additions)),
-                ("remove_property", "key", catalog.property_removals(properties, by["remove_property"])),
-                ("add_property", "key", catalog.property_additions(properties, by["add_property"])),
-            ]
-            reports += [
-                frame.select(
-                    F.lit(name).alias("operation"), "entity_id", F.col(column).alias("name"), "outcome", "requests", "rejected"
-                )
-                for name, column, frame in outcomes
-            ]
-            tags = catalog.add_tags(catalog.remove_tags(tags, by["remove_tag"]), additions)
-            properties = catalog.add_properties(
-                catalog.remove_properties(properties, by["remove_property"]), by["add_property"]
-            )
-            if turn + 1 < turns:
-                tags, properties = persisted_copy(tags, "tags"), persisted_copy(properties, "properties")
-        report = persisted_copy(reduce(DataFrame.unionByName, reports), "outcomes")
-        self.commit({f"{kind}_tags": tags, f"{kind}_properties": properties})
-        return report
+        )
+        return catalog.change_outcomes(changed)
 
     def tag(
         self,

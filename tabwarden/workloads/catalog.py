@@ -459,5 +459,56 @@ def catalog_changes(spark, sf_dir):
     return house.list_data_models()
 
 
+# Tags and properties added and removed in turns; one dataset has a third of all requests, a few have no row.
+_MIXED = f"""
+SELECT {_ENTITY} AS entity_id, o_orderkey AS seq, o_orderstatus = 'F' AS remove, o_orderpriority LIKE '1%' AS force,
+       CASE turn % 4 WHEN 0 THEN 'building' WHEN 1 THEN 'reviewed'
+                     WHEN 2 THEN concat('nation=', CAST(turn % 3 AS string)) ELSE 'segment=BUILDING=x' END AS expression
+FROM (SELECT *, CAST(floor(o_orderkey / 3) AS bigint) AS turn FROM {{orders}}) AS o
+"""
+
+
+@QUERIES.add(
+    "mixed_tag_batches",
+    _ctes(t=_TAGS, p=_PROPERTIES, q=_MIXED)
+    + """, c AS (SELECT entity_id, 'tag' AS kind, tag AS name, CAST(seq AS VARCHAR) AS value FROM t
+               UNION ALL SELECT entity_id, 'property', key, value FROM p),
+    r AS (SELECT *, expression NOT LIKE '%=%' AS bare, split_part(expression, '=', 1) AS name FROM q),
+    g AS (SELECT entity_id, CASE WHEN bare THEN 'tag' ELSE 'property' END AS kind, name, count(*) AS requests,
+                 list({'held': true, 'value': CASE WHEN bare THEN CAST(seq + 1 AS VARCHAR)
+                                                   ELSE substr(expression, length(name) + 2) END,
+                       'bare': bare, 'remove': remove, 'force': force, 'n': CAST(0 AS BIGINT)}
+                      ORDER BY seq) AS asked
+          FROM r GROUP BY ALL),
+    f AS (SELECT entity_id, kind, name, coalesce(requests, 0) AS requests,
+                 list_reduce(list_prepend({'held': value IS NOT NULL, 'value': value, 'bare': false, 'remove': false,
+                                           'force': false, 'n': CAST(0 AS BIGINT)}, coalesce(asked, [])),
+                   lambda s, x: CASE
+                     WHEN x.remove AND s.held AND (x.bare OR s.value = x.value)
+                       THEN {'held': false, 'value': NULL, 'bare': false, 'remove': false, 'force': false, 'n': s.n + 1}
+                     WHEN NOT x.remove AND (NOT s.held OR (x.force AND NOT x.bare))
+                       THEN {'held': true, 'value': x.value, 'bare': false, 'remove': false, 'force': false, 'n': s.n + 1}
+                     ELSE s END) AS s
+          FROM c FULL JOIN g USING (entity_id, kind, name))
+    SELECT entity_id, kind, name, s.value AS value, requests, requests - s.n AS rejected FROM f""",
+)
+def mixed_tag_batches(spark, sf_dir):
+    """A batch of additions and removals in their order, through the warehouse: what is there at the end, for
+    tags their place, and how many requests failed."""
+    house = Warehouse(spark, scratch(spark, "warehouse"))
+    house.initialise()
+    house.commit({"dataset_tags": derive(spark, sf_dir, _TAGS), "dataset_properties": derive(spark, sf_dir, _PROPERTIES)})
+    report = house.change_tags("dataset", derive(spark, sf_dir, _MIXED))
+    kind = F.when(F.col("operation").endswith("_tag"), "tag").otherwise("property").alias("kind")
+    counted = report.groupBy("entity_id", kind, "name").agg(F.sum("requests").alias("requests"), F.sum("rejected").alias("rejected"))
+    row = lambda kind, name, value: ("entity_id", F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(value).cast("string").alias("value"))
+    left = house.table("dataset_tags").select(*row("tag", "tag", "seq")).unionByName(
+        house.table("dataset_properties").select(*row("property", "key", "value"))
+    )
+    return left.join(counted, ["entity_id", "kind", "name"], "full").select(
+        "entity_id", "kind", "name", "value", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("rejected", F.lit(0)).alias("rejected")
+    )
+
+
 def _padded(spark, frame, name):
     return tables.pad_columns(frame, spark.createDataFrame([], SCHEMAS[name]).schema)

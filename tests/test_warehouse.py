@@ -1,9 +1,12 @@
+import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from samples import csv, model, study, text, variable, visits
 
 from tabwarden.model import DICTIONARY_FILE, DISABLED, ENABLED, ErrorClass, Profile
+from tabwarden.operators import catalog
 from tabwarden.plans.warehouse import SCHEMAS, RequestError, Warehouse
 
 
@@ -140,3 +143,50 @@ def test_requests_for_one_name_take_effect_in_order(spark, tmp_path, trees):
     wanted = spark.createDataFrame([(2, ["y", "x", "y"], {"n": "1"})], "entity_id bigint, tags array<string>, properties map<string,string>")
     house.overwrite_annotations("dataset", wanted)
     assert read() == {1: (["u"], {"k": "z"}), 2: (["y", "x"], {"n": "1"})}
+
+
+def test_a_batch_of_many_turns_is_the_same_as_one_request_after_the_other(spark):
+    rng = random.Random(3)
+    tags = [(e, t, i) for i, (e, t) in enumerate((e, t) for e in range(4) for t in "ab" if rng.random() < 0.5)]
+    properties = [(e, "k", str(rng.randrange(3))) for e in range(4) if e % 2]
+    asked = [(1, "a", i % 2 == 0, False, i) for i in range(1000)]
+    asked += [
+        (rng.choice([0, 1, 2, 9, None]), rng.choice(["a", "b", "c", "k=0", "k=1", "k=2", "k="]), rng.random() < 0.5, rng.random() < 0.3, 1000 + i)
+        for i in range(500)
+    ]
+    known = {(e, True, t): (None, s) for e, t, s in tags} | {(e, False, k): (v, None) for e, k, v in properties}
+    last, effects = max(s for *_, s in tags), Counter()
+    for entity, expression, remove, force, seq in asked:
+        name, is_property, value = expression.partition("=")
+        key = (entity, not is_property, name)
+        if remove:
+            done = key in known and (not is_property or known[key][0] == value)
+            known = {k: v for k, v in known.items() if k != key} if done else known
+        else:
+            done = key not in known or (bool(is_property) and force)
+            if done:
+                known[key] = (value, None) if is_property else (None, seq + last)
+        effects[key, remove] += done
+
+    tag_frame = spark.createDataFrame(tags, "entity_id bigint, tag string, seq bigint")
+    property_frame = spark.createDataFrame(properties, "entity_id bigint, key string, value string")
+    schema = "entity_id bigint, expression string, remove boolean, force boolean, seq bigint"
+    frame = spark.createDataFrame(asked, schema)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        changed = catalog.ordered_changes(tag_frame, property_frame, catalog.parse_tag_requests(frame))
+        left = {(r.entity_id, r.tag, r.name): (r.value, None if not r.tag else r.place) for r in changed.where("operation IS NULL").collect()}
+        report = catalog.change_outcomes(changed).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert left == known
+    got = Counter()
+    for r in report:
+        got[(r.entity_id, r.operation.endswith("tag"), r.name), r.operation.startswith("remove")] += r.requests - r.rejected
+    assert got == effects and sum(r.requests for r in report) == len(asked)
+    assert sum(r.outcome in ("added", "removed") and r.entity_id == 1 and r.name == "a" for r in report) >= 999
+
+    empty = frame.where("false")
+    same = catalog.ordered_changes(tag_frame, property_frame, catalog.parse_tag_requests(empty))
+    assert same.where("operation IS NOT NULL").isEmpty() and same.count() == len(tags) + len(properties)
