@@ -17,9 +17,10 @@ MAX_BROADCAST_PAIRS = 500_000
 
 
 def append_load(rows: DataFrame, path: str, load: int) -> str:
-    """Write one load; no shuffle, a task writes a file per dataset that it holds."""
+    """Write one load. Rows are dealt by dataset first, where Spark splits large datasets over several tasks
+    and lays small ones together, so files follow from bytes and datasets and not from tasks."""
     target = f"{path}/{LOAD}={load}"
-    rows.write.partitionBy(DATASET_COLUMN).parquet(target)
+    rows.hint("rebalance", DATASET_COLUMN).write.partitionBy(DATASET_COLUMN).parquet(target)
     return target
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tabwarden.operators.keys import rows_with_repeated_key
 from tabwarden.operators.rowids import assign_ordered_ids, assign_row_ids
 from tabwarden.operators.skew import spread_join
+from tabwarden.sources.primary import append_load
 
 
 def test_all_copies_are_reported(spark):
@@ -46,3 +47,11 @@ def test_row_ids_are_gap_free(spark):
     ordered = assign_ordered_ids(rows, [F.col("id").desc()])
     assert ordered.where("row_id <> 1000 - id").isEmpty()
     assert assign_row_ids(rows.where("id < 0")).count() == 0
+
+
+def test_a_load_has_files_by_dataset_and_not_by_task(spark, tmp_path):
+    rows = spark.range(0, 2000, 1, 40).selectExpr("id", "concat('d', id % 10) AS dataset")
+    path = append_load(rows, str(tmp_path), 1)
+    files = [f for f in tmp_path.rglob("*.parquet")]
+    assert 10 <= len(files) <= 20
+    assert spark.read.parquet(path).groupBy("dataset").count().where("count = 200").count() == 10
