@@ -73,7 +73,7 @@ def _show(rule: JaccardRule):
 
         bound = int(rule.shown * 2**63)
         seen: set[int] = set()
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             tokens, owners, counts, showns = [], [], [], []
             sets = shingle_sets(*text_buffers(batch.column("text")), rule.width)
             for cls, own in zip(batch.column("class").to_pylist(), sets, strict=True):
@@ -141,7 +141,7 @@ def _sets(rule: JaccardRule):
         from tabwarden.llm.fingerprints import shingle_sets, text_buffers
 
         given: set[str] = set()
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             sets = shingle_sets(*text_buffers(batch.column("text")), rule.width)
             wanted = batch.column("wanted").to_pylist()
             nodes = batch.column("node").to_pylist()
@@ -301,7 +301,7 @@ def _tokens(batches):
     import numpy as np
     import pyarrow as pa
 
-    for batch in slices(batches, 4 << 20, "shingles"):
+    for batch in slices(batches, 1 << 20, "shingles"):
         sets = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
         counts = np.array([len(s) for s in sets], np.int64)
         at = pa.array(np.repeat(np.arange(len(sets)), counts))
