@@ -11,6 +11,7 @@ import re
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace as with_fields
 from functools import reduce
 from urllib.parse import unquote
 
@@ -18,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from tabwarden.model import (
     CDE_SCHEMA,
@@ -52,7 +54,12 @@ SCHEMAS = {
     "dataset_properties": "entity_id bigint, key string, value string",
     "loads": "load bigint, data_model_id bigint, dataset string, n_rows bigint, last_row_id bigint, live boolean",
 }
-_COMMIT_SCHEMA = "version bigint, paths map<string,string>"
+#: ``stream`` and ``batch`` tell which batch of which streaming query a commit took, if any.
+_COMMIT_SCHEMA = "version bigint, paths map<string,string>, stream string, batch bigint"
+
+
+#: What the listing of a stream of files has; the content is never read.
+_LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 class RequestError(Exception):
@@ -72,10 +79,12 @@ class Warehouse:
 
     # Storage
 
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema(_COMMIT_SCHEMA).json(f"{self.root}/_commits")
+
     def _current(self) -> tuple[int, dict[str, str]]:
         try:
-            commits = self.spark.read.schema(_COMMIT_SCHEMA).json(f"{self.root}/_commits")
-            last = commits.agg(F.max_by(F.struct("version", "paths"), "version").alias("last")).first()["last"]
+            last = self._commits().agg(F.max_by(F.struct("version", "paths"), "version").alias("last")).first()["last"]
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -104,8 +113,8 @@ class Warehouse:
             raise RequestError(ErrorClass.USER_INPUT, "The catalog has to be initialised first.")
         return {name: self.spark.read.schema(SCHEMAS[name]).parquet(paths[name]) for name in names}
 
-    def commit(self, frames: Mapping[str, DataFrame]) -> None:
-        """Write the given tables and make them current together."""
+    def commit(self, frames: Mapping[str, DataFrame], taken: tuple[str, int] | None = None) -> None:
+        """Write the given tables and make them current together; ``taken`` is the stream and batch they come from."""
         version, paths = self._current()
         written = {name: f"{self.root}/{name}/{version + 1}-{uuid.uuid4().hex}" for name in frames}
 
@@ -119,7 +128,7 @@ class Warehouse:
         with ThreadPoolExecutor(len(SCHEMAS)) as pool:
             list(pool.map(write, frames))
         paths.update(written)
-        row = self.spark.createDataFrame([(version + 1, paths)], _COMMIT_SCHEMA)
+        row = self.spark.createDataFrame([(version + 1, paths, *(taken or (None, None)))], _COMMIT_SCHEMA)
         row.coalesce(1).write.mode("append").json(f"{self.root}/_commits")
 
     def _primary_path(self, data_model_id: int) -> str:
@@ -219,6 +228,15 @@ class Warehouse:
         self, paths: str, code: str, version: str, profile: Profile = Profile.LOAD, stage: bool = False
     ) -> FolderCheck:
         """Check CSV files (one, or all below a folder) against a registered model."""
+        # A file that is named is read whatever its name; a folder gives its CSV files.
+        name = paths.rstrip("/").rsplit("/", 1)[-1]
+        listed = csv_text.list_files(self.spark, paths, "*" if re.search(r"\.\w+$", name) else "*.csv")
+        if listed.isEmpty():
+            raise RequestError(ErrorClass.USER_INPUT, f"No data file found: {paths}")
+        return self._check_listed(listed, code, version, profile, stage)
+
+    def _check_listed(self, listed: DataFrame, code: str, version: str, profile: Profile, stage: bool) -> FolderCheck:
+        """Check listed files ``(file, folder, bytes)`` against a registered model."""
         model = self.table("data_models").where(F.col("data_model_id") == self.model_id(code, version))
         key = F.concat_ws(":", "code", "version")
         longitudinal = self.is_longitudinal(code, version)
@@ -241,11 +259,6 @@ class Warehouse:
                 "bad_enumeration": F.lit(False),
             }
         )
-        # A file that is named is read whatever its name; a folder gives its CSV files.
-        name = paths.rstrip("/").rsplit("/", 1)[-1]
-        listed = csv_text.list_files(self.spark, paths, "*" if re.search(r"\.\w+$", name) else "*.csv")
-        if listed.isEmpty():
-            raise RequestError(ErrorClass.USER_INPUT, f"No data file found: {paths}")
         files = listed.withColumn("model_key", F.lit(f"{code}:{version}"))
         return check_files(self.spark, files, models, cdes, profile=profile, stage=stage)
 
@@ -265,6 +278,59 @@ class Warehouse:
         if replace:
             self._purge()
 
+    def load_stream(
+        self,
+        path: str,
+        code: str,
+        version: str,
+        quarantine: str,
+        *,
+        profile: Profile = Profile.LOAD,
+        files_per_batch: int | None = None,
+        glob: str = "*.csv",
+    ) -> DataStreamWriter:
+        """A stream that loads arriving CSV files of any header into a registered model, each file as a whole or not at all.
+
+        The stream carries paths only; a batch is checked as ``check_dataset`` does and the files without a
+        violation are loaded with one commit. Violations of the others go to ``quarantine``. The commit
+        row names the query (by its checkpoint) and the batch, so a batch that Spark runs again is
+        known and left out, and what a failed batch left behind is overwritten. Row ids go on from the
+        last load. The caller names the checkpoint and the trigger. One writer at a time, as for all changes.
+        """
+        reader = self.spark.readStream.format("binaryFile").schema(_LISTING).option("pathGlobFilter", glob)
+        if files_per_batch is not None:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        place = F.col("_metadata.file_path")
+        arrived = reader.load(path).select(
+            place.alias("file"), csv_text.folder_of(place).alias("folder"), F.col("length").alias("bytes")
+        )
+
+        def take(batch: DataFrame, batch_id: int) -> None:
+            house = Warehouse(batch.sparkSession, self.root)
+            query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            if query is None:
+                raise RuntimeError("A batch of an unknown streaming query can't be told from its repetition.")
+            mine = (F.col("stream") == query) & (F.col("batch") >= batch_id)
+            if house._commits().where(mine).isEmpty():
+                house._take_batch(batch, (query, batch_id), code, version, quarantine, profile)
+
+        return arrived.writeStream.foreachBatch(take)
+
+    def _take_batch(
+        self, batch: DataFrame, taken: tuple[str, int], code: str, version: str, quarantine: str, profile: Profile
+    ) -> None:
+        checked = self._check_listed(persisted_copy(batch, "arrived"), code, version, profile, stage=True)
+        told = f"{quarantine}/batch={taken[1]}"
+        checked.violations.write.mode("overwrite").parquet(told)
+        bad = self.spark.read.schema(checked.violations.schema).parquet(told).select(F.col("file").alias(PATH)).distinct()
+        good = {
+            x: persisted_copy(frame.join(bad, PATH, "left_anti").select(*frame.columns), "good")
+            for x, frame in checked.staged.items()
+        }
+        checked = with_fields(checked, staged={x: frame for x, frame in good.items() if not frame.isEmpty()})
+        ids = {f"{code}:{version}": self.model_id(code, version)}
+        self.commit(self._loaded(checked, ids, self.tables(), profile), taken)
+
     def load_folder(
         self, root: str, profile: Profile = Profile.LOAD, dictionary_glob: str = DICTIONARY_FILE
     ) -> None:
@@ -380,6 +446,12 @@ class Warehouse:
 
     # Deletion
 
+    def empty_model(self, code: str, version: str) -> None:
+        """Drop all rows of a model's primary table, from the disk too; the model and its datasets stay listed."""
+        gone = F.col("data_model_id") == self.model_id(code, version)
+        self.commit({"loads": self.table("loads").withColumn("live", F.col("live") & ~gone)})
+        self._purge()
+
     def delete_dataset(self, dataset: str, code: str, version: str) -> None:
         """Drop a dataset from the catalog and its rows from the disk."""
         model, identity = self.model_id(code, version), self.dataset_id(dataset, code, version)

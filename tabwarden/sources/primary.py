@@ -18,9 +18,13 @@ MAX_BROADCAST_PAIRS = 500_000
 
 def append_load(rows: DataFrame, path: str, load: int) -> str:
     """Write one load. Rows are dealt by dataset first, where Spark splits large datasets over several tasks
-    and lays small ones together, so files follow from bytes and datasets and not from tasks."""
+    and lays small ones together, so files follow from bytes and datasets and not from tasks.
+
+    The number of the load is new, so what is in its place is left over from a load that failed before its commit.
+    """
     target = f"{path}/{LOAD}={load}"
-    rows.hint("rebalance", DATASET_COLUMN).write.partitionBy(DATASET_COLUMN).parquet(target)
+    writer = rows.hint("rebalance", DATASET_COLUMN).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(DATASET_COLUMN).parquet(target)
     return target
 
 

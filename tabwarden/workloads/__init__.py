@@ -6,9 +6,9 @@ from tabwarden.workloads.base import Query
 
 
 def all_queries() -> dict[str, Query]:
-    from tabwarden.workloads import catalog, checks, dictionaries, folders, primary, streams
+    from tabwarden.workloads import catalog, checks, dictionaries, folders, houses, primary, streams
 
     merged: dict[str, Query] = {}
-    for module in (checks, dictionaries, primary, catalog, folders, streams):
+    for module in (checks, dictionaries, primary, catalog, folders, streams, houses):
         merged.update(module.QUERIES)
     return merged

@@ -190,3 +190,69 @@ def test_a_batch_of_many_turns_is_the_same_as_one_request_after_the_other(spark)
     empty = frame.where("false")
     same = catalog.ordered_changes(tag_frame, property_frame, catalog.parse_tag_requests(empty))
     assert same.where("operation IS NOT NULL").isEmpty() and same.count() == len(tags) + len(properties)
+
+
+def test_a_stream_loads_each_file_once(spark, tmp_path, trees, monkeypatch):
+    dictionary = model("scans", "1.0", [variable("dataset", codes=["a", "b"]), variable("value", "int")])
+    house = Warehouse(spark, str(tmp_path / "house"))
+    house.initialise()
+    house.add_data_models(trees({f"s/{DICTIONARY_FILE}": text(dictionary)}))
+    arrivals = trees(
+        {
+            "1.csv": csv("dataset,value", "a,1", "b,2"),
+            "2.csv": csv("value,dataset", "3,a", "x,a"),
+            "3.csv": csv("value,dataset", "4,b"),
+            "4.csv": csv("dataset,other", "a,1"),
+            "5.csv": csv("dataset,value"),
+        }
+    )
+    checkpoint, quarantine = str(tmp_path / "checkpoint"), str(tmp_path / "quarantine")
+
+    def arrive(files_per_batch=1):
+        writer = house.load_stream(arrivals, "scans", "1.0", quarantine, files_per_batch=files_per_batch)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def loaded():
+        return sorted((r["row_id"], r["dataset"], r["value"]) for r in house.primary("scans", "1.0").collect())
+
+    # The rows are written, then the commit fails: the batch comes again and finds what was left behind.
+    commit = Warehouse.commit
+
+    def failing(self, frames, taken=None):
+        raise OSError("lost")
+
+    monkeypatch.setattr(Warehouse, "commit", failing)
+    with pytest.raises(Exception, match="lost"):
+        arrive()
+    monkeypatch.setattr(Warehouse, "commit", commit)
+    assert loaded() == []
+    arrive()
+    rows = loaded()
+    assert [r[0] for r in rows] == [1, 2, 3] and {r[1:] for r in rows} == {("a", 1), ("b", 2), ("b", 4)}
+    refused = spark.read.parquet(quarantine).collect()
+    assert {(r["file"].rsplit("/", 1)[1], r["rule"]) for r in refused} == {("2.csv", "type"), ("4.csv", "unknown_column")}
+
+    # Spark runs batches again whose end it has not noted.
+    taken = []
+    monkeypatch.setattr(Warehouse, "_take_batch", lambda self, batch, query, *more: taken.append(query))
+    for note in Path(checkpoint, "commits").iterdir():
+        if note.name.strip(".crc").strip(".") == "4":
+            note.unlink()
+    arrive()
+    assert taken == [] and loaded() == rows
+    # Another checkpoint is another stream, with batches of its own.
+    checkpoint = str(tmp_path / "other")
+    arrive(files_per_batch=10)
+    assert len(taken) == 1
+
+
+def test_emptied_models_stay_listed(spark, tmp_path, trees):
+    dictionary = model("scans", "1.0", [variable("dataset", codes=["a", "b"]), variable("value", "int")])
+    house = Warehouse(spark, str(tmp_path))
+    house.initialise()
+    house.load_folder(trees({f"s/{DICTIONARY_FILE}": text(dictionary), "s/x.csv": csv("dataset,value", "a,3", "b,4")}))
+    house.empty_model("scans", "1.0")
+    assert house.primary("scans", "1.0").isEmpty() and house.list_datasets().count() == 2
+    assert not list(tmp_path.glob("primary/*/*/*"))
+    house.add_datasets(trees({"y.csv": csv("dataset,value", "b,5")}), "scans", "1.0")
+    assert [(r["row_id"], r["value"]) for r in house.primary("scans", "1.0").collect()] == [(1, 5)]
