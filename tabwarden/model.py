@@ -130,6 +130,7 @@ DICTIONARY_RULE_RANK = {
     "bad_model_name": 50,
     "duplicate_cde": 51,
     "bad_sql_type": 52,
+    "code_case_clash": 53,
 }
 
 # Rules whose failure is not of the "data_model" class.
@@ -141,4 +142,5 @@ DICTIONARY_RULE_CLASS = {
     "longitudinal_not_boolean": ErrorClass.USER_INPUT,
     "bad_model_name": ErrorClass.USER_INPUT,
     "duplicate_cde": ErrorClass.DATABASE,
+    "code_case_clash": ErrorClass.DATABASE,
 }

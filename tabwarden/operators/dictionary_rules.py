@@ -91,6 +91,23 @@ def duplicate_cdes(cdes: DataFrame) -> DataFrame:
     )
 
 
+def case_clashes(cdes: DataFrame) -> DataFrame:
+    """Codes of a dictionary that differ only in case, each spelling once.
+
+    Columns of a table are told apart without case, so such variables can't stand in one table.
+    """
+    spelled = cdes.where("code IS NOT NULL").select(*_MODEL, "code").distinct()
+    return (
+        spelled.groupBy(*_MODEL, F.lower("code").alias("__folded"))
+        .agg(F.array_sort(F.collect_set("code")).alias("spellings"))
+        .where(F.size("spellings") > 1)
+        .select(*_MODEL, F.explode("spellings").alias("code"), F.array_join("spellings", ",").alias("detail"))
+        .select(
+            *_MODEL, F.lit(None).cast("int").alias("ordinal"), "code", F.lit("code_case_clash").alias("rule"), "detail"
+        )
+    )
+
+
 def model_violations(models: DataFrame, cdes: DataFrame) -> DataFrame:
     """Rules on whole dictionaries: version, name, dataset variable, longitudinal variables.
 
@@ -147,12 +164,13 @@ def model_violations(models: DataFrame, cdes: DataFrame) -> DataFrame:
 def dictionary_violations(models: DataFrame, cdes: DataFrame) -> DataFrame:
     """Every violation of every rule, with its rank and error class.
 
-    The variables are written first: three rules read them, and flattening is recursive.
+    The variables are written first: four rules read them, and flattening is recursive.
     """
     cdes = persisted_copy(cdes, "variables")
     found = (
         variable_violations(cdes)
         .unionByName(duplicate_cdes(cdes))
+        .unionByName(case_clashes(cdes))
         .unionByName(model_violations(models, cdes))
     )
     return found.withColumns(
@@ -161,9 +179,9 @@ def dictionary_violations(models: DataFrame, cdes: DataFrame) -> DataFrame:
 
 
 def dictionary_verdict(models: DataFrame, violations: DataFrame) -> DataFrame:
-    """One row per dictionary: valid or not, the first failure in rule order, how many."""
+    """One row per dictionary: valid or not, the first failure in rule order (of several codes the smallest), how many."""
     phase = F.when(F.col("rank").between(10, 29), F.lit(10)).otherwise(F.col("rank"))
-    order = F.struct(phase, F.coalesce("ordinal", F.lit(0)), F.col("rank"))
+    order = F.struct(phase, F.coalesce("ordinal", F.lit(0)), F.col("rank"), F.coalesce("code", F.lit("")))
     failed = violations.groupBy("model_key").agg(
         F.min_by(F.struct("rule", "code", "error_class"), order).alias("first"),
         F.count(F.lit(1)).alias("n_violations"),

@@ -1,5 +1,5 @@
 """Warehouses loaded from ``orders``, ``supplier`` and ``events``: deletions read back from the disk, the
-variables of registered models, and streams that load into a model."""
+variables of registered models, codes that differ only in case, and streams that load into a model."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwarden.operators import catalog
+from tabwarden.plans.validate import check_folder
 from tabwarden.plans.warehouse import Warehouse
 from tabwarden.session import scratch
 from tabwarden.sources import csv_text
@@ -28,14 +29,14 @@ _BODY = ",".join(
         _variable("price", "real", "real"),
     ]
 )
+_HEAD, _TAIL = '{"code":"m', f'","version":"1.0","label":"Orders","variables":[{_BODY}],"groups":[]}}'
 
 
 def _house(spark: SparkSession, sf_dir: str) -> Warehouse:
     root = scratch(spark, "orders-tree")
     rows = derive(spark, sf_dir, _ORDERS)
     csv_text.write_csv(rows, root, "append", ["grp"])
-    head, tail = '{"code":"m', f'","version":"1.0","label":"Orders","variables":[{_BODY}],"groups":[]}}'
-    texts = rows.select("grp").distinct().select("grp", F.concat(F.lit(head), "grp", F.lit(tail)).alias("value"))
+    texts = rows.select("grp").distinct().select("grp", F.concat(F.lit(_HEAD), "grp", F.lit(_TAIL)).alias("value"))
     texts.write.mode("append").partitionBy("grp").text(root)
     house = Warehouse(spark, scratch(spark, "warehouse"))
     house.initialise()
@@ -153,6 +154,32 @@ def load_model_cdes(spark, sf_dir):
     )
 
 
+_CASES = "SELECT CAST(o_orderkey % 3 AS string) AS grp, o_orderkey AS key, o_orderstatus AS dataset FROM {orders}"
+
+
+@QUERIES.add(
+    "check_case_codes",
+    f"""WITH g AS (SELECT DISTINCT grp FROM ({oracle(_CASES)}))
+    SELECT 'dictionary' AS kind, grp, grp <> '0' AS is_valid, CASE grp WHEN '0' THEN 'code_case_clash' END AS first_rule,
+           CASE grp WHEN '0' THEN 'KEY' END AS first_column FROM g
+    UNION ALL SELECT 'file', grp, grp = '1', CASE grp WHEN '0' THEN 'invalid_dictionary' WHEN '2' THEN 'unknown_column' END,
+           CASE grp WHEN '2' THEN 'Key' END FROM g""",
+)
+def check_case_codes(spark, sf_dir):
+    """A dictionary with codes that differ only in case is refused; a header that spells a code otherwise has a foreign column."""
+    root = scratch(spark, "cases")
+    rows = derive(spark, sf_dir, _CASES)
+    csv_text.write_csv(rows.where("grp <> '2'"), root, "append", ["grp"])
+    csv_text.write_csv(rows.where("grp = '2'").select("grp", F.col("key").alias("Key"), "dataset"), root, "append", ["grp"])
+    clash = F.replace(F.lit(_TAIL), F.lit('"code":"price"'), F.lit('"code":"KEY"'))
+    tail = F.when(F.col("grp") == "0", clash).otherwise(_TAIL)
+    texts = rows.select("grp").distinct().select("grp", F.concat(F.lit(_HEAD), "grp", tail).alias("value"))
+    texts.write.mode("append").partitionBy("grp").text(root)
+    judged = check_folder(spark, root, dictionary_glob=_DICTIONARIES).verdicts()
+    group = F.regexp_extract("path", "grp=([0-9]+)", 1).alias("grp")
+    return judged.select("kind", group, "is_valid", "first_rule", "first_column").distinct()
+
+
 def _again(spark: SparkSession, checkpoint: str) -> None:
     """Take back what the stream notes after each batch, so that it runs the last batches again."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

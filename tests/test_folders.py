@@ -1,7 +1,7 @@
 from urllib.parse import unquote
 
 import pytest
-from samples import csv, study, text, visits
+from samples import csv, model, study, text, variable, visits
 
 from tabwarden.model import DICTIONARY_FILE, Profile
 from tabwarden.plans.validate import check_folder
@@ -147,3 +147,26 @@ def test_hidden_names_are_loaded(spark, trees):
     assert sources["more"].endswith("/ok/_y.csv")
     house.add_datasets(f"{root}/ok/_y.csv", "study", "1.0")
     assert house.primary("study", "1.0").count() == 5
+
+
+def test_codes_that_differ_in_case_only(spark, trees):
+    root = trees(
+        {
+            f"a/{DICTIONARY_FILE}": text(model("m", "1.0", [variable("dataset", codes=["d"]), variable("age", "int"), variable("Age")])),
+            "a/x.csv": csv("dataset,age,Age", "d,1,x"),
+            f"b/{DICTIONARY_FILE}": text(model("n", "1.0", [variable("dataset", codes=["d"]), variable("age", "int")])),
+            "b/y.csv": csv("dataset,Age", "d,1"),
+            "b/z.csv": csv("dataset,age,AGE", "d,1,2"),
+            "b/fine.csv": csv("dataset,age", "d,1"),
+        }
+    )
+    checked = check_folder(spark, root)
+    clashes = checked.dictionary_violations.where("rule = 'code_case_clash'").collect()
+    assert sorted((r["code"], r["detail"]) for r in clashes) == [("Age", "Age,age"), ("age", "Age,age")]
+    judged = {r["path"].rsplit("/", 1)[1]: (r["first_rule"], r["first_column"]) for r in checked.verdicts().where("kind = 'file'").collect()}
+    assert judged == {
+        "x.csv": ("invalid_dictionary", None),
+        "y.csv": ("unknown_column", "Age"),
+        "z.csv": ("unknown_column", "AGE"),
+        "fine.csv": (None, None),
+    }
