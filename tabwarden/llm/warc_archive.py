@@ -166,9 +166,12 @@ def verified(payloads: DataFrame) -> DataFrame:
 def restore(archive: Archive, spark: SparkSession) -> DataFrame:
     """``record, warc, resolved``: the archived bytes of each record and its full payload.
 
-    A hot payload has many headers; Spark splits that side of the join.
+    A hot payload has many headers; Spark splits that side of the join. A header whose payload is gone fails the
+    reading; no record is left out.
     """
-    joined = archive.headers(spark).join(verified(archive.payloads(spark)), "sha256")
+    found = archive.headers(spark).join(verified(archive.payloads(spark)), "sha256", "left")
+    lost = F.raise_error(F.concat(F.lit("there is no payload "), F.col("sha256")))
+    joined = found.withColumn("payload", F.when(F.col("payload").isNull(), lost).otherwise(F.col("payload")))
     body = F.when(F.col("is_response"), F.col("payload")).otherwise(F.lit("").cast("binary"))
     return joined.select(
         "record",

@@ -56,6 +56,15 @@ def test_records_are_read_from_their_own_bytes(spark, tmp_path, before, after, f
         warc_archive.read_records(restored.withColumn("warc", broken)).collect()
 
 
+def test_a_record_whose_payload_is_gone_fails_the_reading(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u1", "same"), (2, "u2", "same"), (3, "u3", "x")], "page_id long, url string, html string")
+    archive = warc_archive.write_archive(pages, str(tmp_path / "archive"))
+    stored = warc_archive.Archive.payloads
+    monkeypatch.setattr(warc_archive.Archive, "payloads", lambda self, session: stored(self, session).where("octet_length(payload) > 1"))
+    with pytest.raises(Exception, match="there is no payload"):
+        warc_archive.read_records(warc_archive.restore(archive, spark)).collect()
+
+
 def removal(raws, length):
     starts = defaultdict(int)
     for raw in raws:
