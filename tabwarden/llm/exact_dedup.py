@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.bitmap import BITMAP_BITS, key_bitmap, with_hits
+from tabwarden.operators.bitmap import BITMAP_BITS, key_bitmap, with_hits
 from tabwarden.llm.common import text_of
 from tabwarden.operators.skew import spread_join
 from tabwarden.session import persisted_copy

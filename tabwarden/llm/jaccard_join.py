@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwarden.llm.bitmap import key_bitmap, with_hits
+from tabwarden.operators.bitmap import key_bitmap, with_hits
 from tabwarden.llm.common import SPACE, counted_broadcast, slices
 from tabwarden.llm.components import component_roots
 from tabwarden.operators.skew import spread_join

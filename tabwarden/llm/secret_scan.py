@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.bitmap import key_bitmap, with_hits
+from tabwarden.operators.bitmap import key_bitmap, with_hits
 from tabwarden.llm.common import slices, text_of
 from tabwarden.operators.skew import spread_join
 from tabwarden.session import persisted_copy

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwarden.functions.text import nullify, typed
+from tabwarden.operators.bitmap import key_bitmap, with_hits
 from tabwarden.operators.row_checks import VIOLATION_COLUMNS, quoted
 from tabwarden.operators.skew import spread_join
+from tabwarden.session import persisted_copy
 
 
 def long_enumeration_violations(
@@ -28,7 +30,8 @@ def long_enumeration_violations(
     and nulls are never outside. A code that is no number of its column's type stands for nothing.
 
     The cells are reduced to distinct (column, value) pairs on the map side, so only these meet the
-    codes, each once. What is left meets the cells in a join that cuts hot values into slots.
+    codes, each once. What is left is written, and only cells that a bitmap of it does not rule out meet it, in
+    a join that cuts hot values into slots.
     """
     types = {name: "text" for name in df.columns if name not in keys} | (sql_types or {})
     checked = list(sql_types) if sql_types else [c for c in df.columns if c not in keys]
@@ -53,7 +56,10 @@ def long_enumeration_violations(
     cells = cells.where("same IS NOT NULL")
     listed = codes.select("column", comparable(F.col("code"), F.col("column")).alias("same")).where("same IS NOT NULL")
     pairs = cells.groupBy("column", "same").agg(F.count("*").alias("copies"))
-    unknown = pairs.join(listed.distinct(), ["column", "same"], "left_anti")
+    # Spark would move an anti join below the aggregate and shuffle every cell for it.
+    met = pairs.join(listed.distinct().withColumn("__listed", F.lit(True)), ["column", "same"], "left")
+    unknown = persisted_copy(met.where(F.col("__listed").isNull()).drop("__listed"), "unknown-values")
+    cells = with_hits(cells, key_bitmap(unknown, "column", "same"), "column", "same").where("__hit").drop("__hit")
     found = spread_join(cells, unknown, ["column", "same"], "copies", "left_semi", hot_rows)
     return found.select(
         *[F.col(f"__row.`{k}`").alias(k) for k in keys],

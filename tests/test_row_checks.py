@@ -2,8 +2,10 @@ import pytest
 
 from tabwarden.functions.text import NA_TOKENS
 from tabwarden.model import Cde, Profile
+from tabwarden.operators import long_lists
 from tabwarden.operators.long_lists import long_enumeration_violations
 from tabwarden.operators.row_checks import row_violations, wide_row_violations
+from tabwarden.operators.skew import spread_join
 from tabwarden.plans.validate import validate_rows
 
 CDES = [
@@ -107,3 +109,19 @@ def test_long_code_lists_say_the_same(spark):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
     assert long_enumeration_violations(rows.where("false"), codes, ["id"], types).count() == 0
     assert long_enumeration_violations(rows, codes.where("false"), ["id"], {"a": "text"}).count() == 54
+
+
+def test_only_cells_in_doubt_meet_the_unknown_values(spark, monkeypatch):
+    met = []
+
+    def watched(cells, *more):
+        met.append(cells.count())
+        return spread_join(cells, *more)
+
+    monkeypatch.setattr(long_lists, "spread_join", watched)
+    rows = spark.range(1000).selectExpr("id", "CAST(id % 100 AS string) AS a", "CAST(id % 10 AS string) AS b")
+    codes = spark.range(100).selectExpr("'a' AS column", "CAST(id AS string) AS code").where("code <> '7'")
+    codes = codes.unionByName(spark.range(10).selectExpr("'b' AS column", "CAST(id AS string) AS code"))
+    found = long_enumeration_violations(rows, codes, ["id"]).collect()
+    assert sorted((r["id"], r["column"], r["value"]) for r in found) == [(i, "a", "7") for i in range(7, 1000, 100)]
+    assert met == [10]
