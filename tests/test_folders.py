@@ -3,6 +3,7 @@ from urllib.parse import unquote
 import pytest
 from samples import csv, model, study, text, variable, visits
 
+import __spark_entry__ as contract
 from tabwarden.model import DICTIONARY_FILE, Profile
 from tabwarden.plans.validate import check_folder
 from tabwarden.plans.warehouse import Warehouse
@@ -170,3 +171,24 @@ def test_codes_that_differ_in_case_only(spark, trees):
         "z.csv": ("unknown_column", "AGE"),
         "fine.csv": (None, None),
     }
+
+
+def test_rows_of_a_tree_are_counted_before_they_meet_their_verdicts(spark, tmp_path):
+    events = spark.range(2000).selectExpr(
+        "id AS event_id", "id % 5 AS user_id", "timestamp '2024-01-01' AS ts", "'view' AS event_type",
+        "CAST(id % 150 + 1.5 AS double) AS value", "'{\"k\": 7}' AS props",
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    out = contract.queries()["scan_awkward_names"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "Join Inner" in line and "file" in line)
+    sides = [line.strip(" :+-") for line in plan[join + 1 : join + 3]]
+    assert any(side.startswith("Aggregate") for side in sides), plan[: join + 3]
+    rows = out.collect()
+    assert sorted(r["grp"] for r in rows) == [str(i) for i in range(9)] and all(r["is_valid"] for r in rows)
+    assert sum(r["n"] for r in rows) == 2000 - _dirty(events)
+
+
+def _dirty(events):
+    broken = " OR ".join(f"event_id % {n} = 0" for n in (211, 97, 89, 83, 79, 53))
+    return events.where(broken).count()
