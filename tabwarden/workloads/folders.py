@@ -6,7 +6,11 @@ Which rows share a file is up to Spark, so results are told per group, not per f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterable
+from itertools import groupby
+from urllib.parse import urlparse
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tabwarden.model import PATH
@@ -71,9 +75,37 @@ def _dictionary(code_sql: str) -> str:
 
 
 def _write_dictionaries(spark: SparkSession, sf_dir: str, root: str, groups: DataFrame) -> None:
-    """One dictionary file in the folder of each group."""
+    """One dictionary file in the folder of each group, which is a number.
+
+    Every task writes the files of its own groups. Spark's writer has the rights of each file set by processes of
+    their own where the client has no native library, and all groups of a small table would be in one task.
+    """
     text = groups.select("grp", F.expr(_dictionary("concat('g', grp)")).alias("value"))
-    text.write.mode("append").partitionBy("grp").text(root)
+    dealt = text.repartition(spark.sparkContext.defaultParallelism, "grp").sortWithinPartitions("grp")
+    dealt.foreachPartition(_text_writer(root))
+
+
+def _text_writer(root: str) -> Callable[[Iterable[Row]], None]:
+    """Write ``(grp, value)`` sorted by ``grp`` as Spark's writer lays out a text file per folder."""
+
+    def write(rows: Iterable[Row]) -> None:
+        from pyarrow import fs
+
+        url = urlparse(root)
+        if url.scheme in ("", "file"):
+            store, base = fs.LocalFileSystem(), url.path
+        else:
+            scheme = {"s3a": "s3", "s3n": "s3"}.get(url.scheme, url.scheme)
+            store, base = fs.FileSystem.from_uri(f"{scheme}://{url.netloc}{url.path}")
+        for grp, own in groupby(rows, lambda row: row["grp"]):
+            folder = f"{base}/grp={'__HIVE_DEFAULT_PARTITION__' if grp is None else grp}"
+            store.create_dir(folder, recursive=True)
+            # All rows of a group are in one task, so a task that runs again writes the same files.
+            with store.open_output_stream(f"{folder}/part-00000.txt") as out:
+                for row in own:
+                    out.write(f"{row['value'] or ''}\n".encode())
+
+    return write
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> str:

@@ -8,6 +8,7 @@ from tabwarden.model import DICTIONARY_FILE, Profile
 from tabwarden.plans.validate import check_folder
 from tabwarden.plans.warehouse import Warehouse
 from tabwarden.session import scratch
+from tabwarden.workloads import folders
 
 STUDY = text(study(["ok", "more"]))
 FILES = {
@@ -192,3 +193,15 @@ def test_rows_of_a_tree_are_counted_before_they_meet_their_verdicts(spark, tmp_p
 def _dirty(events):
     broken = " OR ".join(f"event_id % {n} = 0" for n in (211, 97, 89, 83, 79, 53))
     return events.where(broken).count()
+
+
+def test_dictionary_files_are_written_by_the_tasks_of_their_groups(spark, tmp_path):
+    groups = spark.createDataFrame([("1",), ("2",), ("2",), (None,)], "grp string").coalesce(1)
+    folders._write_dictionaries(spark, "", str(tmp_path), groups)
+    lines = {p.parent.name: p.read_text().split("\n") for p in tmp_path.rglob("*.txt")}
+    assert {k: [v[:12] for v in vs] for k, vs in lines.items()} == {
+        "grp=1": ['{"code":"g1"', ""],
+        "grp=2": ['{"code":"g2"', '{"code":"g2"', ""],
+        "grp=__HIVE_DEFAULT_PARTITION__": ["", ""],
+    }
+    assert not list(tmp_path.rglob("*.crc"))
