@@ -237,8 +237,12 @@ def check_files(
 
 
 def structure(spark: SparkSession, root: str, dictionary_glob: str = DICTIONARY_FILE) -> tuple[DataFrame, DataFrame]:
-    """Models and variables of all dictionaries below ``root``, written once and read back."""
-    parsed = parse_dictionaries(read_dictionaries(spark, root, dictionary_glob))
+    """Models and variables of all dictionaries below ``root``, written once and read back.
+
+    The files themselves are opened once, and their texts laid together: later passes open as many files as there were tasks.
+    """
+    texts = read_dictionaries(spark, root, dictionary_glob).coalesce(4 * spark.sparkContext.defaultParallelism)
+    parsed = parse_dictionaries(persisted_copy(texts, "dictionaries"))
     models = persisted_copy(parsed.drop("node"), "models")
     cdes = persisted_copy(flatten_dictionaries(parsed), "cdes")
     return models, cdes

@@ -184,8 +184,8 @@ class Warehouse:
     def add_data_models(self, root: str, dictionary_glob: str = DICTIONARY_FILE) -> None:
         """Check and register every dictionary below ``root``; all of them or none."""
         models, cdes = structure(self.spark, root, dictionary_glob)
-        nothing = csv_text.list_files(self.spark, root, dictionary_glob).where(F.lit(False))
-        checked = check_files(self.spark, nothing.withColumn("model_key", F.lit("")), models, cdes)
+        nothing = self.spark.createDataFrame([], "file string, folder string, bytes bigint, model_key string").where("false")
+        checked = check_files(self.spark, nothing, models, cdes)
         self._refuse_invalid(checked)
         self.commit(self._registered(checked, self.tables()))
 

@@ -1,10 +1,10 @@
 """Names that Spark's file sources leave out: those that begin with ``_`` or ``.``.
 
-A study folder may have any name, and so may its files. Folders are found by patterns that the cluster's own
-file system client expands, one pair of calls per level of the tree, and only hidden entries come to the
-driver; below a hidden folder Spark lists and reads as anywhere. Files hidden by their own name can't be
-given to a reader at all. Each gets a copy under a plain name in the shared folder, streamed by the file system
-client, and what is read from the copy is told under the name of the file.
+A study folder may have any name, and so may its files. The cluster's own file system
+client lists the tree, one pair of calls per level, and only hidden entries come to the driver's Python; below a
+hidden folder Spark lists and reads as anywhere. Files hidden by their own name can't be given to a reader at all.
+Each gets a copy under a plain name in the shared folder, streamed by the file system client, and what is read
+from the copy is told under the name of the file.
 """
 
 from __future__ import annotations
@@ -42,17 +42,25 @@ def hidden_entries(spark: SparkSession, root: str, file_glob: str) -> tuple[list
             if entry.isDirectory():
                 folders.append(path.toString())
             elif fnmatchcase(path.getName(), file_glob):
-                files.append((path.toUri().toString(), entry.getLen()))
+                # A listing writes the scheme in another way than Spark does; patterns and texts give Spark's.
+                files.append((hadoop.Path(path.toString()).toUri().toString(), entry.getLen()))
 
     if is_hidden(root):
         told(entry for entry in store.globStatus(hadoop.Path(root)) or () if entry.isFile())
     is_file = bool(files)
-    level = root.rstrip("/")
-    while True:
-        told(store.globStatus(hadoop.Path(f"{level}/{_HIDDEN}")))
-        level += "/*"
-        if not len(store.globStatus(hadoop.Path(level)) or ()):
-            return folders, files, is_file
+    level = hadoop.FileUtil.stat2Paths(store.globStatus(hadoop.Path(root)))
+    seen = {path.toString() for path in level or ()}
+    is_hidden_name, same = hadoop.GlobFilter(_HIDDEN), spark.sparkContext._jvm.java.util.Objects.deepEquals
+    while level is not None and len(level):
+        below = hadoop.FileUtil.stat2Paths(store.listStatus(level))
+        # A listed file stands for itself, so below the last folders nothing changes.
+        if same(level, below):
+            break
+        fresh = [entry for entry in store.listStatus(level, is_hidden_name) if entry.getPath().toString() not in seen]
+        seen.update(entry.getPath().toString() for entry in fresh)
+        told(fresh)
+        level = below
+    return folders, files, is_file
 
 
 def copy_hidden(spark: SparkSession, files: Iterable[str]) -> None:

@@ -8,6 +8,7 @@ from samples import csv, model, study, text, variable, visits
 from tabwarden.model import DICTIONARY_FILE, DISABLED, ENABLED, ErrorClass, Profile
 from tabwarden.operators import catalog
 from tabwarden.plans.warehouse import SCHEMAS, RequestError, Warehouse
+from tabwarden.sources import csv_text
 
 
 @pytest.fixture(scope="module")
@@ -256,3 +257,13 @@ def test_emptied_models_stay_listed(spark, tmp_path, trees):
     assert not list(tmp_path.glob("primary/*/*/*"))
     house.add_datasets(trees({"y.csv": csv("dataset,value", "b,5")}), "scans", "1.0")
     assert [(r["row_id"], r["value"]) for r in house.primary("scans", "1.0").collect()] == [(1, 5)]
+
+
+def test_registering_lists_no_data_files(spark, tmp_path, trees, monkeypatch):
+    house = Warehouse(spark, str(tmp_path))
+    house.initialise()
+    monkeypatch.setattr(csv_text, "list_files", lambda *_: pytest.fail("listed"))
+    dictionary = model("scans", "1.0", [variable("dataset", codes=["a"]), variable("value", "int")])
+    house.add_data_models(trees({f"{d}/{DICTIONARY_FILE}": text({**dictionary, "code": d}) for d in ("s", ".h/_s")}))
+    assert sorted(r["code"] for r in house.table("data_models").collect()) == [".h/_s", "s"]
+    assert house.table("cdes").count() == 4
